@@ -1,10 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage takes all rows its predecessor kept, and its decisions take effect:
+documents that the quality rules reject go, and so do the lines above the
+limits; of equal texts and of near copies one document stays; the mix repeats
+or leaves out documents; the last stage returns the pieces of the packed
+sequences. Each stage's rows are written as Parquet and read again, so a stage
+starts from files and a lost executor costs no earlier stage.
+
+Rows that repeat an id share a verdict. A null id is a row of its own kind: it
+is kept or removed like the operators say.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm import exact_dedup, minhash, mixing, packing, quality_rules
+from tessera.llm.common import table, written
+
+
+def _joined(docs: DataFrame, verdict: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with ``columns`` of the verdict on each id, whose names are out of the way."""
+    once = verdict.groupBy(F.col("doc_id").alias("_verdict_id")).agg(*[F.max(c).alias(f"_verdict_{c}") for c in columns])
+    return docs.join(once, docs["doc_id"].eqNullSafe(once["_verdict_id"])).drop("_verdict_id")
+
+
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(docs, cleaned=True, carry=True)
+    fields = []
+    for name in docs.columns:
+        field = F.col(f"row.`{name}`")
+        changed = F.col("row.text").isNotNull() & (F.col("n_removed_words") > 0)
+        fields.append(F.when(changed, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}[name]).otherwise(field).alias(name) if name in ("text", "n_chars") else field.alias(name))
+    return judged.filter("kept").select(*fields)
+
+
+def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _joined(docs, exact_dedup.exact_dedup(docs), "kept").filter("_verdict_kept").drop("_verdict_kept")
+
+
+def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _joined(docs, minhash.near_dedup(docs, width=5, percent=80), "kept").filter("_verdict_kept").drop("_verdict_kept")
+
+
+def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    chosen = _joined(docs, mixing.mix(docs), "copies").filter("_verdict_copies > 0")
+    return chosen.withColumn("_verdict_copies", F.explode(F.sequence(F.lit(1), F.col("_verdict_copies").cast("int")))).drop("_verdict_copies")
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mix), ("packing", pack)]
+
+#: Near copies by MinHash and packing by BM25 have no SQL: tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -65,13 +65,13 @@ def repeated_words(tokens: str, docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_grams", "_twice", "_sorted", "_starts")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.05, min_left: float = 0.5, cleaned: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.05, min_left: float = 0.5, cleaned: bool = False, carry: bool = False) -> DataFrame:
     """The counts and the verdict for each row of ``docs``: ``doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
     base_failed, kept``; with ``cleaned`` also ``text`` without the lines above
-    the limits."""
+    the limits, and with ``carry`` the row itself as ``row``."""
     bad = written(frequent_lines(docs, text_col=text_col, host_col=host_col, min_docs=min_docs, share=share), "frequent")
-    rows = docs.select(F.col(id_col).alias("doc_id"), host_of(host_col).alias("host"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), host_of(host_col).alias("host"), text_of(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     rows = rows.join(bad, "host", "left").drop("host")
     rows = rows.withColumn("_words", words(F.col("text"))).withColumn("_lines", lines_of(F.col("text")))
     rows = rows.withColumn("_gone", F.when(F.col("bad").isNotNull(), F.filter("_lines", lambda x: F.array_contains("bad", line_hash(x)))))
@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "n_removed_words": removed,
     }
     rows = rows.withColumns(columns).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
-    out = ["doc_id", *list(columns)[:4], "n_repeat_words", "n_removed_words", "base_failed", "kept"]
+    out = ["doc_id", *list(columns)[:4], "n_repeat_words", "n_removed_words", "base_failed", "kept", *(["row"] if carry else [])]
     if cleaned:
         text = F.when(F.size("_gone") > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad", line_hash(x)) | ~x.rlike(NOT_SPACE)), "\n")).otherwise(F.col("text"))
         return rows.select(*out, text.alias("text"))

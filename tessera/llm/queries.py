@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, license_scan, line_dedup, mixing, quality_rules
+from tessera.llm import exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_packing": packing.op3_packing,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
