@@ -44,6 +44,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: A character that isn't white space, then a blank: no token of the vocabulary's pattern crosses the place before the blank.
 BREAK = "([^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]) "
 MARK = "\x00"
+BLOCK = 20_000  # words tokenised in one string
 
 
 @cache
@@ -63,19 +64,43 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@cache
+def token_sizes(path: str) -> np.ndarray:
+    """The bytes of each id."""
+    e = encoding(path)
+    return np.array([len(e.decode_single_token_bytes(i)) for i in range(e.max_token_value + 1)], np.int64)
+
+
+def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words one after another, and how many each has. Words that
+    begin with a blank are tokenised in long strings, as no token crosses the
+    place before the blank; bytes tell whose the ids are."""
+    encode, sizes = encoding(path).encode_ordinary, token_sizes(path)
+    parts, counts = [], []
+    i = 0
+    while i < len(words):
+        j = i + 1
+        while j < len(words) and j < i + BLOCK and words[j][:1] == " " and not words[j - 1][-1:].isspace():
+            j += 1
+        ids = np.array(encode("".join(words[i:j])), np.int64)
+        ends = np.cumsum([len(w.encode()) for w in words[i:j]])
+        upto = np.searchsorted(np.cumsum(sizes[ids]), ends, side="right")
+        parts.append(ids)
+        counts.append(np.diff(upto, prepend=0))
+        i = j
+    return np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.uint32), np.concatenate([*counts, np.empty(0, np.int64)])
+
+
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch, and where each text's begin; every distinct word of
     the batch is tokenised once."""
-    encode = encoding(path).encode_ordinary
     marked = pc.replace_substring_regex(texts, BREAK, f"\\1{MARK} ")
     if pc.any(pc.match_substring(texts, MARK)).as_py():  # the mark is in a text: take whole texts
         lists = pa.array([[t] for t in texts.to_pylist()], pa.list_(texts.type))
     else:
         lists = pc.split_pattern(marked, MARK)
     words = lists.flatten().dictionary_encode()
-    ids = [encode(w) for w in words.dictionary.to_pylist()]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))
+    flat, size = encode_words(words.dictionary.to_pylist(), path)
     at = words.indices.to_numpy()
     table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(flat))
     out = table.take(words.indices).flatten().to_numpy() if len(at) else flat
@@ -83,6 +108,14 @@ def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
+def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with texts of about ``most`` bytes together."""
+    block = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // most
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield batch.slice(i, j - i)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
@@ -94,7 +127,7 @@ def tokenised(docs: DataFrame, path: str, window: int) -> DataFrame:
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 33
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in slices(batch):
                 flat, upto = encode_batch(part.column("text"), path)
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
