@@ -74,7 +74,7 @@ def top_k_batch(catalog: DataFrame, queries: DataFrame, *, k: int = 10, id_col:
                     continue
                 own = batch.column(0).to_numpy()
                 vectors = batch.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
-                scores = q @ vectors.T
+                scores = np.round(q @ vectors.T, 12)  # sums depend on the batch in the last digits
                 for i in range(len(ids)):
                     keys, values = np.concatenate([best[i][0], own]), np.concatenate([best[i][1], scores[i]])
                     if exclude_self:
