@@ -204,7 +204,7 @@ def first_documents(runs: DataFrame, span: int) -> DataFrame:
     return runs.select("run_key", "doc_id", "words").mapInArrow(run, "run_key binary, firsts array<long>")
 
 
-def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot: int = 5000, shard_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot: int = 1000, shard_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, text_sha256, starts`` for each row of
     ``docs``: ``starts`` are the places of the repeated windows, null where all
     words or none go. ``kept_text`` gives the texts."""
