@@ -138,7 +138,7 @@ def fit(sample: DataFrame, languages: list[str], clusters: int, passes: int, rej
 def identify(docs: DataFrame, learn: Column, *, clusters: int = 3, per_language: int = 1500, passes: int = 4, reject: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for each row of ``docs``; rows
     where ``learn`` holds and the language isn't null may be learned from."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("_learn"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("_learn"))
     sample, languages = labelled_sample(named, F.col("_learn"), per_language)
     model = fit(sample, languages, clusters, passes, reject) if languages else None
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -147,8 +147,8 @@ def train(sample: DataFrame, rounds: int, parts: int, rate: float, decay: float)
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = 12_000, rounds: int = 6, parts: int = 6, rate: float = 0.15, decay: float = 1e-5, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``doc_id, score, predicted`` for each row of ``docs``; labels of rows
     where ``learn`` (of ``doc_id``) holds may be learned from."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learn).dropDuplicates(["doc_id"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learn).dropDuplicates(["doc_id"])
     there = marks.count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(1, there)) * (1 << 20)
     # At most about sample_rows pairs of numbers: small enough to send to every task, so texts aren't shuffled.

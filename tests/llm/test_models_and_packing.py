@@ -148,3 +148,18 @@ def test_stages_of_the_pipeline(spark, data, tmp_path):
     for r in packed:
         tokens.setdefault(r["doc_id"], [0, r["doc_tokens"]])[0] += r["length"]
     assert all(n == copies[i] * each for i, (n, each) in tokens.items())
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    text = lambda i: " ".join(f"w{i}a{k}" for k in range(60))
+    rows = [(1, text(1), "en", "s", 5), (None, text(2), None, None, None), (None, text(1), "en", "s", None), (3, None, "en", "s", 0), (4, "", "en", None, 0), (5, text(5), "en", "s", 9), (5, text(5), "en", "s", 9), (6, text(6) + " \n" + text(6), "en", "é", 3), (7, "word " * 60000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("row", "kept", "copies", "bad", "h", "size", "rep", "label", "_words", "a.b")})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {(i, t) for i, t in left} <= {(1, text(1)), (None, text(2)), (5, text(5))} and left
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
