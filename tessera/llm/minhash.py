@@ -7,10 +7,12 @@ of similarity 0.85 once in some two million.
 
 Documents with equal shingle sets form a class, and one of each takes part.
 In each bucket of a band the members are compared with the least one, on full
-sets; what isn't linked to it stays. In the next rounds every bucket whose
-members still lie in several components compares one member of each of these
-with the members of the others, until no bucket holds an untried pair across
-components. So a large group of near copies costs one comparison a member, and
+sets. Buckets whose members then lie in several components are refined: two
+texts that are similar enough share one of their rarest shingles, so those of
+all such members are dealt to groups by shingle, and each group compares one
+member of every component with the members of the others, until no group holds
+an untried pair across components. So a large group of near copies costs one
+comparison a member, texts that merely share a template aren't compared, and
 no link between two components is lost to a shortcut.
 
 Defined cases: a text without words, or null, has an empty set and is linked
@@ -146,6 +148,35 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``shingle, rep, n, core``: of each text of ``texts`` the rarest shingles,
+    so many that two texts which are similar enough share one of them; ``core``
+    marks those of which one must be shared with a text that isn't smaller.
+
+    Rarity is the number of texts with the shingle, then its hash. Shingles that
+    one text has alone come first and match nothing, so they are only counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(words_of(t.as_py()), hashes, width) for t in batch.column("text")]
+            upto = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["rep", "shingles"])
+
+    sets = written(texts.select("doc_id", "text").mapInArrow(run, "rep long, shingles array<long>"), "shingles")
+    each = sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    common = written(each.groupBy("shingle").agg(F.count("*").alias("docs")).filter("docs > 1"), "common")
+    own = each.join(common, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    least = F.floor((percent * F.col("n") + 99) / 100)  # shared by texts that are similar enough
+    both = F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent))  # and with one that isn't smaller
+    own = own.withColumn("long", F.col("n") - least + 1 - alone).withColumn("short", F.col("n") - both + 1 - alone).filter("long > 0")
+    kept = own.select("rep", "n", "short", F.posexplode(F.slice("shared", 1, F.col("long").cast("int"))).alias("at", "x"))
+    return kept.select("x.shingle", "rep", "n", (F.col("at") < F.col("short")).alias("core"))
+
+
 def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``:
     documents linked, directly or through others, by shingles of ``width`` words
@@ -164,22 +195,31 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
     tried = written(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     found = written(linked(tried, texts, width, percent), "found")
     labels = components(found)
-    used = written(members.filter("rep = hub").select("band", "rep"), "used")
+    # Only members of buckets that still hold several components go on.
+    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    several = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band")
+    open_ = named.join(several, "band", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    entries = written(prefixes(texts.join(open_, "doc_id", "left_semi"), width, percent), "prefixes")
+    used = None
     while True:
-        # What no hub of its bucket was compared with: members not used as hubs, in two or more components.
-        open_ = members.select("band", "rep").join(used, ["band", "rep"], "left_anti").join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = written(open_, "open")
-        several = open_.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band")
-        hubs = written(open_.join(several, "band", "left_semi").groupBy("band", "label").agg(F.min("rep").alias("hub")), "hubs")
+        # What no hub of its shingle was compared with, in two or more components.
+        rest = entries if used is None else entries.join(used, ["shingle", "rep"], "left_anti")
+        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        rest = written(rest, "open")
+        several = rest.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("shingle")
+        hubs = rest.join(several, "shingle", "left_semi").groupBy("shingle", "label").agg(F.min(F.struct("rep", "n", "core")).alias("hub"))
+        hubs = written(hubs.select("shingle", F.col("label").alias("hub_label"), F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.core").alias("hub_core")), "hubs")
         if hubs.isEmpty():
             break
-        more = open_.join(hubs.select("band", "hub", F.col("label").alias("hub_label")), "band").filter("label <> hub_label")
+        more = rest.join(hubs, "shingle").filter("label <> hub_label").filter(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+        more = more.filter("case when n < hub_n then core when n > hub_n then hub_core else core and hub_core end")
         more = more.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = written(tried.union(more), "tried")
         found = written(found.union(linked(more, texts, width, percent)), "found")
         labels = components(found)
-        used = written(used.union(hubs.select("band", F.col("hub").alias("rep"))).distinct(), "used")
+        now = hubs.select("shingle", F.col("hub").alias("rep"))
+        used = written(now if used is None else used.union(now), "used")
 
     named = signed.join(classes, "set_key", "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
