@@ -267,8 +267,11 @@ def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot:
     shards = contents.repartition(int(total // shard_words) + 1, "route")
     firsts = written(first_documents(shards, span), "firsts", compression="zstd")
 
-    hits = runs.select("doc_id", "start", "run_key").join(firsts, "run_key").select("doc_id", F.posexplode("firsts").alias("i", "first"), "start").filter("first < doc_id")
-    repeats = written(hits.groupBy("doc_id").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts")), "repeats")
+    # Windows stay together in the array of their run, so a row is a run and not a window.
+    hits = runs.select("doc_id", "start", "run_key").join(firsts, "run_key")
+    repeated = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
+    hits = hits.select("doc_id", repeated.alias("starts")).filter(F.size("starts") > 0)
+    repeats = written(hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
