@@ -88,11 +88,13 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "n_removed_words": removed,
     }
     rows = rows.withColumns(columns).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
-    out = ["doc_id", *list(columns)[:4], "n_repeat_words", "n_removed_words", "base_failed", "kept", *(["row"] if carry else [])]
+    out = [F.col(c) for c in ("doc_id", *list(columns)[:4], "n_repeat_words", "n_removed_words", "base_failed", "kept", *(["row"] if carry else []))]
     if cleaned:
         text = F.when(F.size("_gone") > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad", line_hash(x)) | ~x.rlike(NOT_SPACE)), "\n")).otherwise(F.col("text"))
-        return rows.select(*out, text.alias("text"))
-    return rows.select(*out)
+        out.append(text.alias("text"))
+    # Through a generator no filter on the verdict moves below the counts, where it would take the arrays' expressions
+    # into the functions of their elements and compute them for each element again.
+    return rows.select(F.inline(F.array(F.struct(*out))))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -94,6 +94,15 @@ def test_frequent_lines_go_but_copies_do_not_count(spark):
     assert got[300].base_failed and not got[300].n_removed_words
 
 
+def test_a_filter_on_the_verdict_does_not_repeat_the_counts(spark):
+    # A filter that moved below the counts would take hours on texts of this length.
+    text = " ".join(f"w{i % 9000}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "short", "s"), (3, None, None)], "doc_id long, text string, source string")
+    judged = quality_rules.quality_rules(docs, cleaned=True, carry=True)
+    assert [(r.doc_id, r.n_repeat_words) for r in judged.filter("not kept").orderBy("doc_id").collect()] == [(1, 20_000), (2, 0), (3, 0)]
+    assert judged.filter("kept").count() == 0
+
+
 def test_licences_by_canonical_text(spark):
     mit = license_scan.LICENSES["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence"), mit + " more", None, "", "released under the mit licence", "Licensed under the Apache License, Version 2.0"]
