@@ -7,23 +7,29 @@ or leaves out documents; the last stage returns the pieces of the packed
 sequences. Each stage's rows are written as Parquet and read again, so a stage
 starts from files and a lost executor costs no earlier stage.
 
-Rows that repeat an id share a verdict. A null id is a row of its own kind: it
-is kept or removed like the operators say.
+Rows that repeat an id, or have none, share a verdict: the most lenient of
+theirs. Exact dedup judges each by its text, so a row without an id that
+copies another goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, minhash, mixing, packing, quality_rules
 from tessera.llm.common import table, written
 
 
-def _joined(docs: DataFrame, verdict: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with ``columns`` of the verdict on each id, whose names are out of the way."""
-    once = verdict.groupBy(F.col("doc_id").alias("_verdict_id")).agg(*[F.max(c).alias(f"_verdict_{c}") for c in columns])
-    return docs.join(once, docs["doc_id"].eqNullSafe(once["_verdict_id"])).drop("_verdict_id")
+def _joined(docs: DataFrame, verdict: DataFrame, *columns: str, sha: Column | None = None) -> DataFrame:
+    """``docs`` with ``columns`` of the verdict on each id, whose names are out of
+    the way; with ``sha``, of ``docs``, on each id and equal ``sha`` of the verdict."""
+    keys = ["doc_id"] if sha is None else ["doc_id", "sha"]
+    once = verdict.groupBy(*[F.col(k).alias(f"_verdict_by_{k}") for k in keys]).agg(*[F.max(c).alias(f"_verdict_{c}") for c in columns])
+    same = docs["doc_id"].eqNullSafe(once["_verdict_by_doc_id"])
+    if sha is not None:
+        same &= sha == once["_verdict_by_sha"]
+    return docs.join(once, same).drop(*[f"_verdict_by_{k}" for k in keys])
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,8 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _joined(docs, exact_dedup.exact_dedup(docs), "kept").filter("_verdict_kept").drop("_verdict_kept")
+    sha = F.unhex(F.sha2(exact_dedup.normalised(docs["text"]), 256))
+    return _joined(docs, exact_dedup.exact_dedup(docs), "kept", sha=sha).filter("_verdict_kept").drop("_verdict_kept")
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
