@@ -191,6 +191,15 @@ class Index:
         return np.bincount(np.concatenate([self.tail[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
+def ranked(score: np.ndarray, first: int = 32) -> Iterator[int]:
+    """All places of a positive score, best first, ties by place. Few windows
+    need more than ``first``, so the others are sorted only when asked for."""
+    least = -np.partition(-score, first - 1)[first - 1] if len(score) > first else 0.0
+    for part in ((score > 0) & (score >= least), (score > 0) & (score < least)):
+        at = np.flatnonzero(part)
+        yield from at[np.argsort(-score[at], kind="stable")].tolist()
+
+
 def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (tail, from, to) over the tails of a shard."""
     index = Index(tails, idf, mean)
@@ -218,11 +227,8 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: in
                 carried = current
             if not room:
                 break
-            if near is None:  # as many neighbours as can be needed are ranked once for a seed
-                score = np.where(unused, index.scores(seed), 0.0)
-                best = np.argpartition(-score, min(31, len(score) - 1))[:32]
-                best = best[score[best] > 0]
-                near = iter(best[np.lexsort((best, -score[best]))].tolist())
+            if near is None:
+                near = ranked(np.where(unused, index.scores(seed), 0.0))
             current = next(near, None)
             if current is None:
                 while following < len(tails) and not unused[following]:

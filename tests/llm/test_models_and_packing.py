@@ -72,6 +72,22 @@ def test_neighbours_share_a_window():
     assert sorted(t for s in sequences for t, a, b in s for _ in range(a, b)) == sorted(t for t in range(24) for _ in range(250))
 
 
+def test_short_tails_of_a_topic_share_windows():
+    # A window takes a hundred of these tails, and each topic has enough for two windows.
+    r = np.random.default_rng(5)
+    topic = r.permutation(np.arange(800) % 4)
+    tails = [np.append(r.permutation(20)[:9] + 20 * t, 80 + t).astype(np.uint32) for t in topic]
+    sequences = packing.pack_shard(tails, np.ones(84, np.float32), 10.0, 1000)
+    assert len(sequences) == 8 and all(len({topic[t] for t, _, _ in s}) == 1 for s in sequences)
+
+
+def test_all_places_are_ranked():
+    score = np.random.default_rng(6).integers(0, 30, 500).astype(float)
+    want = sorted(np.flatnonzero(score).tolist(), key=lambda i: (-score[i], i))
+    assert list(packing.ranked(score)) == want and list(packing.ranked(score[:7])) == [i for i in want if i < 7]
+    assert list(packing.ranked(np.zeros(40))) == []
+
+
 def test_bm25_of_the_index_equals_brute_force():
     r = np.random.default_rng(2)
     tails = [r.integers(0, 60, n).astype(np.uint32) for n in (5, 50, 300, 20, 1)]
