@@ -5,7 +5,7 @@ by one separator id. Whole windows of a long text are sequences of their own;
 what remains of each text, its tail, is packed. Tails are dealt to shards by
 their rarest ids, so that lexical neighbours meet. Each shard has an inverted
 index over the ids of its tails, with BM25 weights from document frequencies of
-the whole corpus. A seed takes the window; the best unused neighbours for the
+the whole corpus. All distinct ids of a seed are its query. A seed takes the window; the best unused neighbours for the
 seed follow until it is full, the last cut to fit, and what is left of it is
 the next seed. Where no neighbour shares an id, the next unused tail follows.
 What a shard has left at its end is cut into powers of two, which need no
@@ -38,7 +38,6 @@ from tessera.llm.common import table, text_of, written
 
 WINDOW = 1024
 SEPARATOR = 0
-QUERY_TERMS = 24  # the seed's rarest ids make the query
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A character that isn't white space, then a blank: no token of the vocabulary's pattern crosses the place before the blank.
@@ -182,13 +181,22 @@ class Index:
         self.tail, self.weight, self.n = tail[by], weight[by], len(tails)
         self.terms, heads = np.unique(term[by], return_index=True)
         self.heads = np.append(heads, len(by))
-        self.queries = [s[0][np.argsort(-idf[s[0]], kind="stable")[:QUERY_TERMS]] for s in sets]
+        self.queries = [s[0] for s in sets]  # all distinct ids of each tail
+        # Ids in an eighth of the tails or more, so at most eight times those of a mean tail, have a whole row of weights.
+        at = np.repeat(np.arange(len(self.terms)), own := np.diff(self.heads))
+        self.row = np.where(common := own * 8 >= self.n, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), self.n))
+        self.rows[self.row[at[common[at]]], self.tail[common[at]]] = self.weight[common[at]]
 
     def scores(self, i: int) -> np.ndarray:
         """Of every tail for the query that tail ``i`` makes."""
         at = np.searchsorted(self.terms, self.queries[i])
-        spans = [slice(self.heads[t], self.heads[t + 1]) for t in at]
-        return np.bincount(np.concatenate([self.tail[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[at]
+        out = self.rows[row[row >= 0]].sum(axis=0)
+        if len(rare := at[row < 0]):
+            spans = [slice(self.heads[t], self.heads[t + 1]) for t in rare]
+            out += np.bincount(np.concatenate([self.tail[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
 
 
 def ranked(score: np.ndarray, first: int = 32) -> Iterator[int]:
@@ -268,6 +276,7 @@ def packed(docs: DataFrame, *, window: int = WINDOW, shard_tails: int = 2000, vo
     df = np.zeros(int(frequent["id"].max()) + 1 if len(frequent) else 1)
     df[frequent["id"]] = frequent["n"]
     idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf[SEPARATOR] = 0  # it closes every tail, so sharing it makes no neighbour
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     mean = (total or 1) / max(count, 1)
 

@@ -98,6 +98,20 @@ def test_bm25_of_the_index_equals_brute_force():
         assert np.allclose(index.scores(i), want)
 
 
+def test_the_query_has_all_ids_of_the_seed():
+    r = np.random.default_rng(7)
+    idf = np.concatenate([np.full(200, 1.0), np.full(3000, 9.0)]).astype(np.float32)
+    # Each tail has 30 rare ids of its own and 60 of the 100 frequent ids of its topic.
+    tails = [np.concatenate([200 + 30 * i + np.arange(30), 100 * (i % 2) + r.permutation(100)[:60]]).astype(np.uint32) for i in range(40)]
+    index = packing.Index(tails, idf, 90.0)
+    want = [sum(idf[t] * 2.2 / (1 + 1.2) for t in np.intersect1d(x, tails[3])) for x in tails]
+    assert np.allclose(index.scores(3), want)
+    mixed = [tails[i] for i in r.permutation(40)]
+    topic = [int(x[-1]) // 100 for x in mixed]
+    sequences = packing.pack_shard(mixed, idf, 90.0, 900)
+    assert len(sequences) == 4 and all(len({topic[t] for t, _, _ in s}) == 1 for s in sequences)
+
+
 def test_languages_of_held_out_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
     got = queries.QUERIES["op4_language_id"](spark, data).join(docs, "doc_id").collect()
