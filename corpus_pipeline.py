@@ -8,8 +8,8 @@ sequences. Each stage's rows are written as Parquet and read again, so a stage
 starts from files and a lost executor costs no earlier stage.
 
 Rows that repeat an id, or have none, share a verdict: the most lenient of
-theirs. Exact dedup judges each by its text, so a row without an id that
-copies another goes.
+theirs. Exact dedup judges each by its text, and of the rows that share a
+verdict it keeps one for each text, so copies with one id or without ids go.
 """
 
 from __future__ import annotations
@@ -44,7 +44,16 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     sha = F.unhex(F.sha2(exact_dedup.normalised(docs["text"]), 256))
-    return _joined(docs, exact_dedup.exact_dedup(docs), "kept", sha=sha).filter("_verdict_kept").drop("_verdict_kept")
+    verdict = written(exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "kept", "sha"), "verdict")
+    kept = _joined(docs, verdict, "kept", sha=sha).filter("_verdict_kept").drop("_verdict_kept")
+    if verdict.groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
+        return kept
+    # Rows that repeat an id, or lack one, share the verdict that keeps them: one row of each text stays, whichever
+    # way the rows lie. Copies fall together before they are shuffled.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.withColumn("_verdict_sha", F.unhex(F.sha2(exact_dedup.normalised("text"), 256)))
+    once = once.groupBy("_verdict_sha").agg(F.min_by(row, F.struct("doc_id", "text", F.to_json(row))).alias("row"))
+    return once.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

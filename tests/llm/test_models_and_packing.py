@@ -193,3 +193,14 @@ def test_stages_take_odd_rows_and_clashing_columns(spark):
     assert {(i, t) for i, t in left} <= {(1, text(1)), (None, text(2)), (5, text(5))} and left
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_exact_stage_keeps_one_row_of_each_text(spark):
+    rows = [(5, "same  text", "s1")] * 3 + [(5, "same text", "s2"), (5, "other text", "s1")] + [(None, "no id", s) for s in ("s2", "s1", "s1")]
+    rows += [(None, "with id", "s1"), (7, "with id", "s1"), (8, "with id", "s1"), (None, None, "s1"), (None, "", None), (9, "alone", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit("clash"), "sha": F.lit(1), "a.b": F.lit(2)})
+    got = corpus_pipeline.exact(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text or "", str(r.source)) for r in got.collect())
+    assert [k[:2] for k in kept] == [("5", "other text"), ("5", "same  text"), ("7", "with id"), ("9", "alone"), ("None", ""), ("None", "no id")]
+    assert kept[-1][2] == "s1"
