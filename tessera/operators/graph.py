@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tessera.sources.shared import written
 
-def reach(edges: DataFrame, *, source: str = "src", target: str = "dst", most: int = 64) -> DataFrame:
+
+def reach(edges: DataFrame, *, source: str = "src", target: str = "dst") -> DataFrame:
     """``src, dst, hops``: every pair joined by a path, with its least number of
-    edges. Each round joins only the pairs found last; it ends when none are new.
-    A node that reaches itself lies on a cycle."""
-    found = edges.selectExpr(f"{source} AS src", f"{target} AS dst", "1 AS hops").distinct()
-    edge = edges.selectExpr(f"{source} AS dst", f"{target} AS nxt").distinct()
-    spark = edges.sparkSession
-    own = spark.sparkContext.getCheckpointDir() is not None
-    last = found
-    for hops in range(2, most + 1):
-        step = last.join(edge, "dst").selectExpr("src", "nxt AS dst", f"{hops} AS hops").distinct()
-        last = step.join(found, ["src", "dst"], "left_anti")
-        if own:
-            last = last.checkpoint()
+    edges. Each round joins only the pairs found last; it ends when none are new,
+    however long the paths. What a round finds is written to the shared folder, so
+    no round computes an earlier one again. A node that reaches itself lies on a
+    cycle."""
+    edge = written(edges.selectExpr(f"{source} AS src", f"{target} AS dst").distinct(), "edges")
+    step = edge.selectExpr("src AS dst", "dst AS nxt")
+    found = last = edge.selectExpr("src", "dst", "1 AS hops")
+    hops = 1
+    while True:
+        hops += 1
+        new = last.join(step, "dst").selectExpr("src", "nxt AS dst", f"{hops} AS hops").distinct()
+        last = written(new.join(found, ["src", "dst"], "left_anti"), "paths")
         if last.isEmpty():
-            break
+            return found
         found = found.union(last)
-    return found
 
 
 def cycles(edges: DataFrame, **names) -> DataFrame:

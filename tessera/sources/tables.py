@@ -7,3 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A table of few bytes dealt evenly to all cores, for steps that are heavy on
+    each row: its one file may be a single row group, which one task would read
+    alone. Larger tables have files and row groups enough and stay as they lie."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= most:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
