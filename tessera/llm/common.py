@@ -3,41 +3,21 @@ expressions, and tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+from tessera.sources.tables import load, spread
+
+__all__ = ["NOT_SPACE", "SPACE", "digest", "table", "text_of", "uncovered", "words", "written"]
+
 #: The white space that separates words, as a Java and RE2 character class.
 SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local
-    master gets a temporary folder; a cluster must name one."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or getattr(shared_dir, "own", None)
-    if found is None:
-        if not conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written once to the shared folder and read back: later steps don't
-    compute it again, lost executors lose nothing, and its size is known to
-    the planner, which then broadcasts it only below its own threshold."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread(load(spark, sf_dir, name))
 
 
 def text_of(col: str | Column) -> Column:
@@ -52,3 +32,17 @@ def words(text: Column) -> Column:
 def digest(text: Column) -> Column:
     """128 bits, as binary."""
     return F.unhex(F.md5(text))
+
+
+def uncovered(lines: Column, starts: Column, span: int) -> Column:
+    """``lines`` without those that windows of ``span`` at the sorted
+    ``starts`` cover; in time linear in the lines."""
+
+    def pieces(lines: Column, starts: Column) -> Column:
+        begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(starts, i - 1) + span)
+        end = lambda i: F.coalesce(F.get(starts, i), F.size(lines))
+        return F.transform(F.sequence(F.lit(0), F.size(starts)), lambda i: F.slice(lines, begin(i) + 1, F.greatest(end(i) - begin(i), F.lit(0))))
+
+    # Bound to a variable both are computed once, not for each piece.
+    once = F.array(F.struct(lines.alias("lines"), starts.alias("starts")))
+    return F.get(F.transform(once, lambda x: F.flatten(pieces(x["lines"], x["starts"]))), 0)
