@@ -2,14 +2,16 @@
 id, and compare bytes inside the groups so that a collision merges nothing.
 
 Only digests are shuffled to form the groups. The texts of groups with two or
-more members are moved once, by id, and each group is reduced to its least and
-greatest text with partial aggregation, so a group of any size is spread over
-all tasks. Where both are the same bytes, the whole group is.
+more members are moved once, by id and hash, and each group is reduced to its
+least and greatest text with partial aggregation, so a group of any size is
+spread over all tasks. Where both are the same bytes, the whole group is; where
+they aren't, that hash's texts are grouped by their bytes.
 
 Defined cases: a null text counts as empty; empty texts form one group; an
-empty table gives an empty result; rows that repeat an id are counted one by
-one and share a verdict; a row with a null id joins its group, and is kept
-only if no member has an id. Further columns of the input are ignored.
+empty table gives an empty result; rows that repeat an id are judged by their
+texts, each counted, and those that repeat a text with the group's least id are
+all kept; a row with a null id joins its group, and is kept only if no member
+has an id. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = hashed.join(groups, "h", "left").select(
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), "sha", F.col("n").isNotNull().alias("shared"), "h"
     )
-    # Compare bytes: one text shuffle, then a reduction that combines before it shuffles.
+    # Compare bytes: one text shuffle, then a reduction that combines before it shuffles. Rows without an id have no
+    # key to be dealt by and are reduced where they lie.
+    texts = rows.select("doc_id", hash_of(F.col("norm")).alias("h"), "norm")
     members = found.filter("shared and doc_id is not null").select("doc_id", "h").distinct()
-    texts = rows.join(members, "doc_id").select("doc_id", "h", "norm")
-    collided = written(texts.groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("h"), "collided")
+    compared = texts.join(members, ["doc_id", "h"]).select("h", "norm").union(texts.filter("doc_id is null").select("h", "norm"))
+    collided = written(compared.groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter("a <> b").select("h"), "collided")
     if not collided.isEmpty():
-        true_groups = texts.join(collided, "h").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_true"), F.count("*").alias("n_true"))
-        mended = texts.join(true_groups, ["h", "norm"]).select("doc_id", "keep_true", "n_true").distinct()
-        found = found.join(mended, "doc_id", "left").withColumns({"keep_id": F.coalesce("keep_true", "keep_id"), "group_size": F.coalesce("n_true", "group_size")})
+        own = texts.join(collided, "h").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_true"), F.count("*").alias("n_true"))
+        own = own.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_true", "n_true")
+        found = found.join(own, ["h", "sha"], "left").withColumns({"keep_id": F.when(F.col("n_true").isNull(), F.col("keep_id")).otherwise(F.col("keep_true")), "group_size": F.coalesce("n_true", "group_size")})
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
 
 
