@@ -27,7 +27,9 @@ index of the corpus:
 Defined cases: null texts have no words; texts of under ``span`` words lose
 nothing; a window that recurs only within its document stays; rows that
 repeat an id are one document for the search, so repeats of that id alone go
-nowhere; an empty table gives an empty result; further columns are ignored.
+nowhere, and each row loses the words of its own text; a row without an id is
+no document and loses nothing; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import digest, table, text_of, written
 from tessera.llm.minhash import WordHashes
 
 SPAN = 50
@@ -207,10 +209,11 @@ def first_documents(runs: DataFrame, span: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot: int = 1000, shard_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, text_sha256, starts`` for each row of
     ``docs``: ``starts`` are the places of the repeated windows, null where all
-    words or none go. ``kept_text`` gives the texts."""
+    words or none go."""
     if not gram < span <= DEPTH - 1 or span < DEPTH // 2 + 2:
         raise ValueError(f"span must lie between {DEPTH // 2 + 2} and {DEPTH - 1}, and gram below it")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows that repeat an id are told apart by the digest of their text.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), digest(text_of(text_col)).alias("key"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -228,23 +231,26 @@ def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot:
                 else:
                     offsets.append(offsets[-1])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(anchors)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas), lists], ["doc_id", "n_words", "seq_key", "sha", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas), lists], ["doc_id", "key", "n_words", "seq_key", "sha", "anchors"])
 
-    outlines = written(rows.mapInArrow(outline, "doc_id long, n_words long, seq_key binary, sha string, anchors array<long>"), "outlines")
+    outlines = written(rows.mapInArrow(outline, "doc_id long, key binary, n_words long, seq_key binary, sha string, anchors array<long>"), "outlines")
     classes = written(outlines.filter(f"n_words >= {span} and doc_id is not null").groupBy("seq_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("seq_key", "rep"), "classes")
     placed = outlines.join(classes, "seq_key", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
 
-    single = placed.filter(f"not copy and n_words >= {span} and doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor")).distinct()
-    shared = written(single.groupBy("anchor").agg(F.count("*").alias("docs")).filter("docs > 1").select("anchor", (F.col("docs") > hot).alias("is_hot")), "shared")
-    wanted = single.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("is_hot").alias("is_hot"))
-    texts = written(rows.join(wanted, "doc_id").select("doc_id", "text", "anchors", "is_hot"), "texts")
+    own = placed.filter(f"not copy and n_words >= {span} and doc_id is not null").select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    shared = own.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first <> last")
+    shared = written(shared.select("anchor", (F.col("n") > hot).alias("is_hot")), "shared")
+    wanted = own.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "is_hot")).alias("wanted"))
+    wanted = wanted.select("doc_id", "key", F.transform("wanted", lambda w: w["anchor"]).alias("anchors"), F.transform("wanted", lambda w: w["is_hot"]).alias("is_hot"))
+    texts = written(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "anchors", "is_hot"), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = ["doc_id", "start", "route", "run_key", "n", "words"]
+        names = ["doc_id", "key", "start", "route", "run_key", "n", "words"]
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text, wanted, is_hot in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "anchors", "is_hot"))):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for doc_id, own_key, text, wanted, is_hot in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "key", "text", "anchors", "is_hot"))):
                 words, hot_of = words_of(text), dict(zip(wanted, is_hot))
                 anchor, place = anchors_of(word_hashes(words, hashes), span, gram)
                 edges = runs_of(place)
@@ -254,24 +260,24 @@ def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot:
                     for i, j in ((a, b),) if not known else ((i, i + 1) for i in range(a, b)):
                         run = b" ".join(words[i : j + span - 1])
                         key = hashlib.blake2b(run, digest_size=16).digest()
-                        for column, value in zip(out, (doc_id, i, int.from_bytes(key[:8], "little", signed=True) if known else route, key, j - i, run)):
+                        for column, value in zip(out, (doc_id, own_key, i, int.from_bytes(key[:8], "little", signed=True) if known else route, key, j - i, run)):
                             column.append(value)
                 if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names)
-                    out = ([], [], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
+                    out = ([], [], [], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    runs = written(texts.mapInArrow(cut, "doc_id long, start long, route long, run_key binary, n long, words binary"), "runs", compression="zstd")
+    runs = written(texts.mapInArrow(cut, "doc_id long, key binary, start long, route long, run_key binary, n long, words binary"), "runs", compression="zstd")
     contents = written(runs.groupBy("run_key").agg(F.min("doc_id").alias("doc_id"), F.first("route").alias("route"), F.first("n").alias("n"), F.first("words").alias("words")), "contents", compression="zstd")
     total = contents.agg(F.sum(F.col("n") + span)).first()[0] or 0
     shards = contents.repartition(int(total // shard_words) + 1, "route")
     firsts = written(first_documents(shards, span), "firsts", compression="zstd")
 
     # Windows stay together in the array of their run, so a row is a run and not a window.
-    hits = runs.select("doc_id", "start", "run_key").join(firsts, "run_key")
+    hits = runs.select("doc_id", "key", "start", "run_key").join(firsts, "run_key")
     repeated = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    hits = hits.select("doc_id", repeated.alias("starts")).filter(F.size("starts") > 0)
-    repeats = written(hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
+    hits = hits.select("doc_id", "key", repeated.alias("starts")).filter(F.size("starts") > 0)
+    repeats = written(hits.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")), "repeats")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,10 +287,11 @@ def substring_dedup(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot:
                 keep = kept_mask(len(words), starts, span)
                 removed.append(int(len(words) - keep.sum()))
                 shas.append(hashlib.sha256(b" ".join(words[i] for i in np.flatnonzero(keep))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "removed", "sha_left"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(shas), batch.column("starts")], ["doc_id", "key", "removed", "sha_left", "starts"])
 
-    changed = texts.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(rest, "doc_id long, removed long, sha_left string").distinct()
-    out = placed.drop("anchors").join(changed, "doc_id", "left").join(repeats, "doc_id", "left")
+    changed = texts.select("doc_id", "key", "text").join(repeats, ["doc_id", "key"]).mapInArrow(rest, "doc_id long, key binary, removed long, sha_left string, starts array<long>")
+    changed = changed.dropDuplicates(["doc_id", "key"])  # rows that repeat id and text
+    out = placed.drop("anchors").join(changed, ["doc_id", "key"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
     sha = F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha_left", "sha"))
     return out.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), sha.alias("kept_sha256"), F.when(~F.col("copy"), F.col("starts")).alias("starts"))
@@ -300,3 +307,20 @@ def kept_mask(n: int, starts: list[int], span: int) -> np.ndarray:
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM g) WHERE first < doc_id
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM r
+), k AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN c USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
