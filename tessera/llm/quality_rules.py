@@ -1,17 +1,22 @@
 """Operator 8, quality rules: cross-document line frequency beside simple
 counts of the text.
 
-Every line is hashed after folding case and white space; for each host (the
-``source``) the distinct documents with a line are counted. A line in more than
-``max(min_docs, share * documents of the host)`` of them is removed, and a
-document that keeps less than ``min_left`` of its words is rejected. Documents
-of equal text count as one here: removing copies is another operator's task,
-and a document isn't worse for having some. Above a share there can be only
-``lines of the host / limit`` lines for a host, so they fit in one row each.
+Every line is hashed after folding case and white space, and for each host (the
+``source``) the distinct documents with a line are counted. A line goes if more
+than ``max(min_docs, min(most_docs, share * documents of the host))`` have it:
+a share of a small host, an absolute count in a large one. A document that keeps
+less than ``min_left`` of its words is rejected.
+
+Lines are split and hashed once and written as digests. Counting combines before
+it shuffles; the lines above a limit are joined back by (host, hash), which the
+planner broadcasts only below its own threshold and may split where a line is
+skewed. Only the places of removed lines go back to the texts.
 
 Defined cases: a null text has no words and fails the base rules; a null host
-is a host of its own; rows that repeat an id are judged alike; an empty table
-gives an empty result; further columns are ignored.
+is a host of its own; rows that repeat an id count as one document of a line,
+and each is judged by its own text; rows without an id are as many documents as
+they have texts; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_SPACE, SPACE, digest, table, text_of, words, written
+from tessera.llm.common import NOT_SPACE, SPACE, digest, table, text_of, uncovered, words, written
 
 MIN_WORDS = 50
 
@@ -37,15 +42,20 @@ def host_of(col: str) -> Column:
     return F.when(F.col(col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(col)))
 
 
-def frequent_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.05) -> DataFrame:
-    """``host, bad``: for each host the hashes of its lines above the limit."""
-    rows = docs.select(host_of(host_col).alias("host"), text_of(text_col).alias("text"))
-    rows = rows.select("host", digest(F.col("text")).alias("content"), lines_of(F.col("text")).alias("lines"))
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count("*")).alias("limit"))
-    # Copies of a text fall together in the first step, so a line's documents are counted once for each text.
-    pairs = rows.select("host", "content", F.explode("lines").alias("line")).select("host", "content", line_hash(F.col("line")).alias("h")).distinct()
-    counted = pairs.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    return counted.join(limits, "host").filter("docs > limit").groupBy("host").agg(F.collect_list("h").alias("bad"))
+def hashed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``host, doc_id, key, other, pos, h, n``: every line with a word, by its hash and
+    its number of words. ``key`` tells texts apart, ``other`` does so for rows without an id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), host_of(host_col).alias("host"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("key", digest(F.col("text")))
+    lines = rows.select("host", "doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(NOT_SPACE))
+    return lines.select("host", "doc_id", "key", F.when(F.col("doc_id").isNull(), F.col("key")).alias("other"), "pos", line_hash(F.col("line")).alias("h"), F.size(words(F.col("line"))).alias("n"))
+
+
+def frequent_lines(lines: DataFrame, documents: DataFrame, *, min_docs: int, most_docs: int, share: float) -> DataFrame:
+    """``host, h``: the lines above their host's limit; ``documents`` has each host's documents, ``host, docs``."""
+    counted = lines.select("host", "h", "doc_id", "other").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    limit = F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(most_docs)), share * F.col("docs")))
+    return counted.join(documents, "host").filter(F.col("n") > limit).select("host", "h")
 
 
 def repeated_words(tokens: str, docs: DataFrame) -> DataFrame:
@@ -65,19 +75,28 @@ def repeated_words(tokens: str, docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_grams", "_twice", "_sorted", "_starts")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.05, min_left: float = 0.5, cleaned: bool = False, carry: bool = False) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, most_docs: int = 1000, share: float = 0.05, min_left: float = 0.5, cleaned: bool = False, carry: bool = False
+) -> DataFrame:
     """The counts and the verdict for each row of ``docs``: ``doc_id, n_words,
-    word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
-    base_failed, kept``; with ``cleaned`` also ``text`` without the lines above
+    word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    n_removed_words``; with ``cleaned`` also ``text`` without the lines above
     the limits, and with ``carry`` the row itself as ``row``."""
-    bad = written(frequent_lines(docs, text_col=text_col, host_col=host_col, min_docs=min_docs, share=share), "frequent")
     rows = docs.select(F.col(id_col).alias("doc_id"), host_of(host_col).alias("host"), text_of(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
-    rows = rows.join(bad, "host", "left").drop("host")
+    rows = rows.withColumn("key", digest(F.col("text")))
+    lines = written(hashed_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col), "lines")
+    documents = rows.select("host", "doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("other")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    frequent = written(frequent_lines(lines, documents, min_docs=min_docs, most_docs=most_docs, share=share), "frequent")
+    gone = lines.join(frequent, ["host", "h"]).groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("host").alias("gone_host"))
+    gone = written(gone.agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone")), "gone")
+
+    # Rows of one id and text may have several hosts: each loses what its own host removes.
+    same = rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["key"] == gone["gone_key"]) & (rows["host"] == gone["gone_host"])
+    rows = rows.join(gone, same, "left").drop("host", "key", "gone_id", "gone_key", "gone_host")
     rows = rows.withColumn("_words", words(F.col("text"))).withColumn("_lines", lines_of(F.col("text")))
-    rows = rows.withColumn("_gone", F.when(F.col("bad").isNotNull(), F.filter("_lines", lambda x: F.array_contains("bad", line_hash(x)))))
     rows = repeated_words("_words", rows)
     n_words = F.size("_words").cast("long")
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, x: a + F.size(words(x))), F.lit(0)).cast("long")
+    removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     columns = {
@@ -88,10 +107,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "n_removed_words": removed,
     }
     rows = rows.withColumns(columns).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
-    out = [F.col(c) for c in ("doc_id", *list(columns)[:4], "n_repeat_words", "n_removed_words", "base_failed", "kept", *(["row"] if carry else []))]
+    out = [F.col(c) for c in ("doc_id", *list(columns)[:4], "n_repeat_words", "base_failed", "kept", "n_removed_words", *(["row"] if carry else []))]
     if cleaned:
-        text = F.when(F.size("_gone") > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("bad", line_hash(x)) | ~x.rlike(NOT_SPACE)), "\n")).otherwise(F.col("text"))
-        out.append(text.alias("text"))
+        places = F.transform("gone", lambda x: x["pos"])
+        out.append(F.when(F.col("gone").isNotNull(), F.array_join(uncovered(F.split("text", "\n"), places, 1), "\n")).otherwise(F.col("text")).alias("text"))
     # Through a generator no filter on the verdict moves below the counts, where it would take the arrays' expressions
     # into the functions of their elements and compute them for each element again.
     return rows.select(F.inline(F.array(F.struct(*out))))
@@ -108,12 +127,14 @@ WITH d AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), hl AS (
-  SELECT host, text, unnest(lines) AS line, doc_id FROM d
+  SELECT doc_id, host, text, unnest(lines) AS line FROM d
 ), hk AS (
-  SELECT host, text, doc_id, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k FROM hl
+  SELECT doc_id, host, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k FROM hl
+), hosts AS (
+  SELECT host, count(DISTINCT coalesce(doc_id::VARCHAR, md5(text))) AS docs FROM d GROUP BY host
 ), bad AS (
-  SELECT host, k FROM hk GROUP BY host, k
-  HAVING count(DISTINCT text) > greatest(20, 0.05::DOUBLE * (SELECT count(*) FROM d WHERE d.host = hk.host))
+  SELECT host, k FROM hk JOIN hosts USING (host) GROUP BY host, k, docs
+  HAVING count(DISTINCT coalesce(doc_id::VARCHAR, md5(text))) > greatest(20, least(1000, 0.05::DOUBLE * docs))
 ), gone AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM hk JOIN bad USING (host, k) GROUP BY doc_id
 ), g AS (
@@ -133,5 +154,6 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.5::DOUBLE * n_words AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - n_removed_words >= 0.5::DOUBLE * n_words AS kept, n_removed_words FROM b
 """
