@@ -2,21 +2,26 @@
 
 Each source gets a target in words. Its documents are all taken
 ``floor(target / words)`` times (the certain whole copies); the words that
-remain are sampled without replacement: documents are ranked by their random
-odds ``u / (1 - u)`` over their inclusion odds, and the ranking is cut where
-its words come nearest to the remainder. A document's inclusion odds are those
-of the source's remainder times the square root of its size over the source's
-mean size, so longer documents are likelier.
+remain are sampled without replacement. A document's inclusion probability goes
+with the square root of its size, at most 1, scaled so that the expected words
+of a source are its remainder: documents of probability 1 are certain, and the
+scale is solved exactly over the source's sizes. Documents are ranked by their
+random odds ``u / (1 - u)`` over their inclusion odds ``p / (1 - p)``, and the
+ranking is cut where its words come nearest to the remainder.
 
 The cut needs no sort of a whole source: ranks lie in (0, 1) and are counted in
 ``bins`` bins for each source with partial aggregation, then the crossing bin
 in as many again, and only what lies in that bin of a bin is sorted. Random
-numbers are digests of the id and a seed, so reruns agree.
+numbers are digests of the id and a seed, so reruns agree. Texts aren't shuffled:
+with ``carry`` the rows get their copies from tables of a row for each source, and
+of the few documents in the last bin.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source
-is a source, in the last place; rows that repeat an id are sampled one by one;
-ties in rank go by id; an empty table gives an empty result. Further columns
-are ignored. One row for each source passes through a single sort.
+is a source, in the last place; rows that repeat an id are sampled one by one,
+or with ``carry`` those of one id, source and size alike; ties in rank go by id;
+an empty table gives an empty result. Further columns are ignored. One row for
+each source passes through a single sort, and each source's distinct sizes
+through one of its own.
 """
 
 from __future__ import annotations
@@ -58,22 +63,42 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = MOST, seed: int = 7, bins: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs``."""
+def inclusion_scales(sizes: DataFrame) -> DataFrame:
+    """``key, scale`` from ``key, size, n, rest``: the factor of the square root of
+    the size for which the probabilities, at most 1, give ``rest`` words. If all
+    sizes above one are certain, the others share what is left; the greatest size
+    whose probability then stays within 1 is the last that isn't certain."""
+    down = Window.partitionBy("key").orderBy(F.col("size").desc())
+    certain = F.coalesce(F.sum(F.col("size") * F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    others = F.sum(F.col("size") * F.sqrt("size") * F.col("n")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rated = sizes.withColumn("scale", (F.col("rest") - certain) / others).filter(F.col("scale") * F.sqrt("size") <= 1)
+    return rated.groupBy("key").agg(F.max_by("scale", "size").alias("scale"))
+
+
+def mix(
+    docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = MOST, seed: int = 7, bins: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False
+) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs``,
+    with ``carry`` also the row itself as ``row``."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source_col)))
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.size(words(text_of(text_col))).cast("long").alias("size")), "sized")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.size(words(text_of(text_col))).cast("long").alias("size"), *([F.struct("*").alias("row")] if carry else []))
+    sized = written(rows.drop("row"), "sized")
     targets = source_targets(sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.least(F.floor(share), F.lit(most)).cast("long"))
     targets = written(targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "targets")
+    sampled = targets.filter("rest > 0 AND rest < source_size").select("key", "rest")
+    scales = inclusion_scales(sized.filter("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")).join(sampled, "key"))
+    targets = written(targets.join(scales, "key", "left"), "scaled")
 
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
-    inclusion = F.col("rest") / (F.col("source_size") - F.col("rest")) * F.sqrt(F.col("size") / (F.col("source_size") / F.col("n")))
-    ratio = u / (F.lit(1.0) - u) / inclusion
-    rank = F.when((F.col("size") > 0) & (F.col("rest") > 0) & (F.col("rest") < F.col("source_size")), ratio / (ratio + 1.0))
-    ranked = sized.join(targets, "key").withColumn("rank", rank)
+    p = F.least(F.col("scale") * F.sqrt("size"), F.lit(1.0))
+    ratio = u / (F.lit(1.0) - u) * (F.lit(1.0) - p) / p
     at = F.floor(F.col("rank") * bins)
-    ranked = ranked.withColumn("bin", F.least(at, F.lit(bins - 1))).withColumn("sub", F.floor((F.col("rank") * bins - F.col("bin")) * bins))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        out = rows.join(targets, "key").withColumn("_ratio", F.when(F.col("size") > 0, ratio)).withColumn("rank", F.col("_ratio") / (F.col("_ratio") + 1.0)).drop("_ratio")
+        return out.withColumn("bin", F.least(at, F.lit(bins - 1))).withColumn("sub", F.floor((F.col("rank") * bins - F.col("bin")) * bins))
 
     def crossing(counted: DataFrame, by: str, start: Column) -> DataFrame:
         """For each source the first bin in which the words reach the remainder."""
@@ -81,23 +106,30 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = MO
         total = counted.withColumn("upto", start + F.sum("bin_size").over(run)).filter("upto >= rest")
         return total.groupBy("key").agg(F.min(by).alias(f"cut_{by}"), F.min(F.col("upto") - F.col("bin_size")).alias(f"before_{by}"))
 
-    first = crossing(ranked.filter("rank is not null").groupBy("key", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest")), "bin", F.lit(0))
+    narrow = ranked(sized)
+    first = crossing(narrow.filter("rank is not null").groupBy("key", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest")), "bin", F.lit(0))
     first = written(first, "bins")
-    inside = ranked.filter("rank is not null").join(first, "key").filter("bin = cut_bin")
+    inside = narrow.filter("rank is not null").join(first, "key").filter("bin = cut_bin")
     second = crossing(inside.groupBy("key", "sub").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"), F.first("before_bin").alias("start")), "sub", F.col("start"))
     cuts = written(first.join(second, "key", "left"), "cuts")
 
-    decided = ranked.join(cuts, "key", "left")
     on_edge = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("sub") == F.col("cut_sub")), F.lit(False))
     below = F.coalesce((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("sub") < F.col("cut_sub"))), F.lit(False))
     edge = Window.partitionBy("key").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     passed = F.col("before_sub") + F.coalesce(F.sum("size").over(edge), F.lit(0))
-    nearer = F.coalesce(passed + F.col("size") / 2.0 < F.col("rest"), F.lit(False))
-    columns = ["doc_id", "size", "source_size", "target", "whole"]
-    easy = decided.filter(~on_edge).select(*columns, below.cast("long").alias("extra"))
-    hard = decided.filter(on_edge).select(*columns, nearer.cast("long").alias("extra"))
+    nearer = F.coalesce(passed + F.col("size") / 2.0 < F.col("rest"), F.lit(False)).cast("long")
+    last = narrow.join(cuts, "key", "left").filter(on_edge).withColumn("extra", nearer)
+    columns = ["doc_id", "size", "source_size", "target", "whole", "extra", *(["row"] if carry else [])]
+    if carry:
+        same = written(last.groupBy(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("size").alias("e_size")).agg(F.max("extra").alias("e_extra")), "edge")
+        decided = ranked(rows).join(cuts, "key", "left")
+        decided = decided.join(same, decided["doc_id"].eqNullSafe(same["e_id"]) & (decided["key"] == same["e_key"]) & (decided["size"] == same["e_size"]), "left")
+        out = decided.withColumn("extra", F.coalesce("e_extra", below.cast("long"))).select(*columns)
+    else:
+        easy = narrow.join(cuts, "key", "left").filter(~on_edge).withColumn("extra", below.cast("long"))
+        out = easy.select(*columns).unionByName(last.select(*columns))
     copies = F.col("whole") + F.col("extra")
-    return easy.unionByName(hard).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -127,14 +159,19 @@ WITH sized AS (
   SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END), 3)::BIGINT AS whole FROM t
 ), q AS (
   SELECT *, greatest(target - whole * source_size, 0.0::DOUBLE) AS rest FROM p
+), z AS (
+  SELECT key, size, count(*) AS n, any_value(rest) AS rest FROM sized JOIN q USING (key) WHERE size > 0 AND rest > 0 AND rest < source_size GROUP BY key, size
+), y AS (
+  SELECT key, size, (rest - coalesce(sum(size * n) OVER (PARTITION BY key ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(size * sqrt(size::DOUBLE) * n) OVER (PARTITION BY key ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM z
+), x AS (
+  SELECT key, arg_max(scale, size) AS scale FROM y WHERE scale * sqrt(size::DOUBLE) <= 1 GROUP BY key
 ), u AS (
-  SELECT sized.doc_id, sized.size, q.*,
+  SELECT sized.doc_id, sized.size, q.*, least(scale * sqrt(sized.size::DOUBLE), 1.0::DOUBLE) AS p,
          (('0x' || substr(md5('7:' || coalesce(sized.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized JOIN q USING (key)
+  FROM sized JOIN q USING (key) LEFT JOIN x USING (key)
 ), k AS (
-  SELECT *, CASE WHEN size > 0 AND rest > 0 AND rest < source_size THEN
-      u / (1.0::DOUBLE - u) / (rest / (source_size - rest) * sqrt(size::DOUBLE / (source_size::DOUBLE / n::DOUBLE))) END AS ratio
-  FROM u
+  SELECT *, CASE WHEN size > 0 THEN u / (1.0::DOUBLE - u) * (1.0::DOUBLE - p) / p END AS ratio FROM u
 ), f AS (
   SELECT *, ratio / (ratio + 1.0::DOUBLE) AS rank FROM k
 ), g AS (
