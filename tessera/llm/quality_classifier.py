@@ -10,15 +10,18 @@ in time linear in the features, as the sum over pairs is half of the
 difference between the square of the sums and the sum of the squares.
 
 It is fitted on at most about ``sample_rows`` labelled rows (a bounded sample by
-a hash of the id): in each round every partition of the sample trains from the
-common weights with AdaGrad, and the weights are averaged. Only weights, whose
-size is fixed, pass through the driver. Scoring reads every whole text once,
-without a shuffle.
+a hash of the id), whose features are computed and written once. The sample is
+dealt to parts by a hash, whatever the number of cores or files: in each round
+every part trains from the common weights with AdaGrad in a fixed order, one task
+a part, and the weights are averaged in the order of the parts, so that reruns
+agree. Only weights, whose size is fixed, pass through the driver. Scoring reads
+every whole text once, without a shuffle.
 
 Defined cases: a null or empty text is scored by its (empty) features; without
 labelled rows every score is 0.5; labels other than 0 and 1 and null labels are
-left out; rows that repeat an id are scored alike; an empty table gives an
-empty result; further columns are ignored.
+left out; of several labels of one id the majority counts, 0 in a tie; rows that
+repeat an id are scored by their own texts; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,57 +106,79 @@ def start() -> dict:
     return {"w0": 0.0, "w": np.zeros(SIZE, np.float32), "v": r.normal(0, 0.03, (SIZE, RANK)).astype(np.float32)}
 
 
+def featured(sample: DataFrame, parts: int) -> DataFrame:
+    """``part, place, label, index, value``: the features of a sample, dealt to parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots()
+        for batch in batches:
+            own = [features(t.as_py(), slots) for t in batch.column("text")]
+            upto = pa.array(np.cumsum([0, *(len(i) for i, _ in own)]), pa.int32())
+            index = pa.ListArray.from_arrays(upto, pa.array(np.concatenate([i for i, _ in own] or [np.empty(0)]).astype(np.int32)))
+            value = pa.ListArray.from_arrays(upto, pa.array(np.concatenate([v for _, v in own] or [np.empty(0)]).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("part", "place", "label")), index, value], ["part", "place", "label", "index", "value"])
+
+    place = F.xxhash64("doc_id", "text")
+    dealt = sample.select(F.pmod(place, F.lit(parts)).cast("long").alias("part"), place.alias("place"), "label", "text")
+    return dealt.mapInArrow(run, "part long, place long, label int, index array<int>, value array<float>")
+
+
 def train(sample: DataFrame, rounds: int, parts: int, rate: float, decay: float) -> dict:
     spark = sample.sparkSession
     model = start()
-    sample = written(sample.repartition(parts, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text")), "sample")
+    sample = written(featured(sample, parts), "sample")
+    # Ranges finer than the parts: no task trains two of them.
+    dealt = sample.repartitionByRange(4 * parts, "part").persist()
 
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, slots, n = shared.value, Slots(), 0  # noqa: B023
+        def run(rows: pa.Table) -> pa.Table:
+            m = shared.value  # noqa: B023
             w0, w, v = m["w0"], m["w"].copy(), m["v"].copy()
             g0, gw, gv = 1e-3, np.full(SIZE, 1e-3, np.float32), np.full((SIZE, RANK), 1e-3, np.float32)
-            for batch in batches:
-                for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                    n += 1
-                    index, value = features(text.as_py(), slots)
-                    y, own, sums = margin(index, value, w0, w, v)
-                    slope = sigmoid(y) - label
-                    dw = slope * value + decay * w[index]
-                    dv = slope * (value[:, None] * sums - own * value[:, None]) + decay * v[index]
-                    g0 += slope * slope
-                    gw[index] += dw * dw
-                    gv[index] += dv * dv
-                    w0 -= rate * slope / g0**0.5
-                    w[index] -= rate * dw / np.sqrt(gw[index])
-                    v[index] -= 0.3 * rate * dv / np.sqrt(gv[index])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([w0]), pa.array([w.tobytes()]), pa.array([v.tobytes()])], ["n", "w0", "w", "v"])
-
-        total, w0, w, v = 0, 0.0, np.zeros(SIZE), np.zeros((SIZE, RANK))
-        for r in sample.mapInArrow(run, "n long, w0 double, w binary, v binary").toLocalIterator():
-            total += r["n"]
-            w0 += r["n"] * r["w0"]
-            w += r["n"] * np.frombuffer(r["w"], np.float32)
-            v += r["n"] * np.frombuffer(r["v"], np.float32).reshape(SIZE, RANK)
+            rows = rows.sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(rows["index"]).to_numpy())])
+            flat_index, flat_value = pc.list_flatten(rows["index"]).to_numpy(), pc.list_flatten(rows["value"]).to_numpy()
+            for i, label in enumerate(rows["label"].to_pylist()):
+                index, value = flat_index[upto[i] : upto[i + 1]], flat_value[upto[i] : upto[i + 1]]
+                y, own, sums = margin(index, value, w0, w, v)
+                slope = sigmoid(y) - label
+                dw = slope * value + decay * w[index]
+                dv = slope * (value[:, None] * sums - own * value[:, None]) + decay * v[index]
+                g0 += slope * slope
+                gw[index] += dw * dw
+                gv[index] += dv * dv
+                w0 -= rate * slope / g0**0.5
+                w[index] -= rate * dw / np.sqrt(gw[index])
+                v[index] -= 0.3 * rate * dv / np.sqrt(gv[index])
+            return pa.table({"part": [rows["part"][0].as_py()], "n": [rows.num_rows], "w0": [float(w0)], "w": [w.tobytes()], "v": [v.tobytes()]})
+
+        trained = dealt.groupBy("part").applyInArrow(run, "part long, n long, w0 double, w binary, v binary")
+        found = sorted(trained.collect(), key=lambda r: r["part"])  # a row of fixed size for each part
         shared.unpersist()
-        if not total:
-            return model
-        model = {"w0": w0 / total, "w": (w / total).astype(np.float32), "v": (v / total).astype(np.float32)}
+        if not found:
+            break
+        share = [r["n"] / sum(r["n"] for r in found) for r in found]
+        w = sum(p * np.frombuffer(r["w"], np.float32).astype(float) for p, r in zip(share, found))
+        v = sum(p * np.frombuffer(r["v"], np.float32).astype(float) for p, r in zip(share, found)).reshape(SIZE, RANK)
+        model = {"w0": sum(p * r["w0"] for p, r in zip(share, found)), "w": w.astype(np.float32), "v": v.astype(np.float32)}
+    dealt.unpersist()
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = 12_000, rounds: int = 6, parts: int = 6, rate: float = 0.15, decay: float = 1e-5, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_rows: int = 12_000, rounds: int = 6, parts: int = 6, part_rows: int = 500, rate: float = 0.15, decay: float = 1e-5, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``doc_id, score, predicted`` for each row of ``docs``; labels of rows
     where ``learn`` (of ``doc_id``) holds may be learned from."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learn).dropDuplicates(["doc_id"])
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learn)
+    marks = marks.groupBy("doc_id").agg((F.avg("label") > 0.5).cast("int").alias("label"))
     there = marks.count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(1, there)) * (1 << 20)
     # At most about sample_rows pairs of numbers: small enough to send to every task, so texts aren't shuffled.
-    sample = rows.join(F.broadcast(marks.filter(drawn)), "doc_id").select("text", "label")
+    sample = rows.join(F.broadcast(marks.filter(drawn)), "doc_id")
+    # A part of few rows learns too little for its weights to be worth averaging.
+    parts = max(1, min(parts, there // part_rows))
     model = train(sample, rounds, parts, rate, decay) if there else start() | {"v": np.zeros((SIZE, RANK), np.float32)}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
