@@ -7,6 +7,7 @@ from tessera.llm import exact_dedup, language_id, license_scan, line_dedup, minh
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
+    "license_notice_lines": license_scan.license_notice_lines,
     "op3_packing": packing.op3_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
@@ -19,7 +20,10 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_license_scan": license_scan.OP2_SQL,
+    "license_notice_lines": license_scan.NOTICES_SQL,
+    "op6_minhash_near_dedup": minhash.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
