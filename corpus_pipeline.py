@@ -7,29 +7,27 @@ or leaves out documents; the last stage returns the pieces of the packed
 sequences. Each stage's rows are written as Parquet and read again, so a stage
 starts from files and a lost executor costs no earlier stage.
 
-Rows that repeat an id, or have none, share a verdict: the most lenient of
-theirs. Exact dedup judges each by its text, and of the rows that share a
-verdict it keeps one for each text, so copies with one id or without ids go.
+No stage shuffles whole texts to attach a verdict to them. The rules and the
+mix carry the rows; the deduplicating stages write only what goes, by id, which
+the planner broadcasts as long as it is below its threshold, and else joins by
+shuffle. Rows without an id are never dealt by it.
+
+Rows that repeat an id share a verdict: the most lenient of theirs. Exact dedup
+judges each by its text, and keeps one row of each text, so copies with one id or
+without ids go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, minhash, mixing, packing, quality_rules
 from tessera.llm.common import table, written
 
 
-def _joined(docs: DataFrame, verdict: DataFrame, *columns: str, sha: Column | None = None) -> DataFrame:
-    """``docs`` with ``columns`` of the verdict on each id, whose names are out of
-    the way; with ``sha``, of ``docs``, on each id and equal ``sha`` of the verdict."""
-    keys = ["doc_id"] if sha is None else ["doc_id", "sha"]
-    once = verdict.groupBy(*[F.col(k).alias(f"_verdict_by_{k}") for k in keys]).agg(*[F.max(c).alias(f"_verdict_{c}") for c in columns])
-    same = docs["doc_id"].eqNullSafe(once["_verdict_by_doc_id"])
-    if sha is not None:
-        same &= sha == once["_verdict_by_sha"]
-    return docs.join(once, same).drop(*[f"_verdict_by_{k}" for k in keys])
+def _row(docs: DataFrame, name: str = "row") -> list:
+    return [F.col(f"{name}.`{c}`") for c in docs.columns]
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,26 +41,32 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sha = F.unhex(F.sha2(exact_dedup.normalised(docs["text"]), 256))
-    verdict = written(exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "kept", "sha"), "verdict")
-    kept = _joined(docs, verdict, "kept", sha=sha).filter("_verdict_kept").drop("_verdict_kept")
-    if verdict.groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
-        return kept
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.sha2(exact_dedup.normalised(docs["text"]), 256)).alias("sha"))
+    verdict = exact_dedup.exact_dedup(docs)
+    again = verdict.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    again = written(again.filter("not kept or n > 1"), "again")
+    gone = again.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["sha"] == gone["gone_sha"]), "left_anti")
+    several = again.filter("kept").select("sha")
+    if several.isEmpty():
+        return kept.select(*_row(docs))
     # Rows that repeat an id, or lack one, share the verdict that keeps them: one row of each text stays, whichever
     # way the rows lie. Copies fall together before they are shuffled.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.withColumn("_verdict_sha", F.unhex(F.sha2(exact_dedup.normalised("text"), 256)))
-    once = once.groupBy("_verdict_sha").agg(F.min_by(row, F.struct("doc_id", "text", F.to_json(row))).alias("row"))
-    return once.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    first = F.min_by("row", F.struct("doc_id", "row.text", F.to_json("row"))).alias("row")
+    once = kept.join(several, "sha", "left_semi").groupBy("sha").agg(first).select(*_row(docs))
+    return kept.join(several, "sha", "left_anti").select(*_row(docs)).union(once)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _joined(docs, minhash.near_dedup(docs, width=5, percent=80), "kept").filter("_verdict_kept").drop("_verdict_kept")
+    verdict = minhash.near_dedup(docs, width=5, percent=80).filter("doc_id is not null")
+    gone = written(verdict.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id"), "gone")
+    # A row without an id has no class and stays.
+    return docs.filter("doc_id is null").union(docs.filter("doc_id is not null").join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti"))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = _joined(docs, mixing.mix(docs), "copies").filter("_verdict_copies > 0")
-    return chosen.withColumn("_verdict_copies", F.explode(F.sequence(F.lit(1), F.col("_verdict_copies").cast("int")))).drop("_verdict_copies")
+    chosen = mixing.mix(docs, carry=True).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return chosen.select(*_row(docs))
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
