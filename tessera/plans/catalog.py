@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import audit_queries, distribution_queries, event_queries, run_queries, search_queries
+from tessera.plans import audit_queries, distribution_queries, event_queries, profile_queries, run_queries, search_queries, store_queries
 
-QUERIES = search_queries.QUERIES | run_queries.QUERIES | distribution_queries.QUERIES | event_queries.QUERIES | audit_queries.QUERIES
-SQL = search_queries.SQL | run_queries.SQL | distribution_queries.SQL | event_queries.SQL | audit_queries.SQL
+_ALL = [search_queries, run_queries, distribution_queries, profile_queries, event_queries, audit_queries, store_queries]
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _ALL for name, sql in module.SQL.items()}
