@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_QUERIES = 4096
+SCORES = 4_000_000  # held by a task at once
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -72,19 +73,22 @@ def top_k_batch(catalog: DataFrame, queries: DataFrame, *, k: int = 10, id_col:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
-                vectors = batch.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
-                scores = np.round(q @ vectors.T, 12)  # sums depend on the batch in the last digits
-                for i in range(len(ids)):
-                    keys, values = np.concatenate([best[i][0], own]), np.concatenate([best[i][1], scores[i]])
-                    if exclude_self:
-                        values, keys = values[keys != ids[i]], keys[keys != ids[i]]
-                    if len(keys) > k:
-                        edge = np.partition(-values, k - 1)[k - 1]
-                        there = np.flatnonzero(-values <= edge)  # with all ties at the edge
-                        by = there[np.lexsort((keys[there], -values[there]))][:k]
-                        keys, values = keys[by], values[by]
-                    best[i] = (keys, values)
+                step = max(1, SCORES // len(ids))  # rows whose scores fit in bounded memory
+                for at in range(0, batch.num_rows, step):
+                    rows = batch.slice(at, step)
+                    own = rows.column(0).to_numpy()
+                    vectors = rows.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
+                    scores = np.round(q @ vectors.T, 12)  # sums depend on the batch in the last digits
+                    for i in range(len(ids)):
+                        keys, values = np.concatenate([best[i][0], own]), np.concatenate([best[i][1], scores[i]])
+                        if exclude_self:
+                            values, keys = values[keys != ids[i]], keys[keys != ids[i]]
+                        if len(keys) > k:
+                            edge = np.partition(-values, k - 1)[k - 1]
+                            there = np.flatnonzero(-values <= edge)  # with all ties at the edge
+                            by = there[np.lexsort((keys[there], -values[there]))][:k]
+                            keys, values = keys[by], values[by]
+                        best[i] = (keys, values)
             for i, (keys, values) in enumerate(best):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), ids[i])), pa.array(keys), pa.array(values)], [query_id, id_col, "similarity"])
 
@@ -96,16 +100,21 @@ def top_k_batch(catalog: DataFrame, queries: DataFrame, *, k: int = 10, id_col:
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def ranking_metrics(ranked: DataFrame, grades: DataFrame, *, k: int, query_id: str = "query_id", id_col: str = "vec_id") -> DataFrame:
+def graded_metrics(graded: DataFrame, counts: DataFrame, *, k: int, query_id: str = "query_id") -> DataFrame:
     """Precision, recall, reciprocal rank and nDCG at ``k`` for each query of
-    ``grades`` (``query_id, id, grade``). Precision divides by ``k``, whatever was
-    returned; without a relevant row recall and nDCG are 0."""
-    hits = ranked.filter(F.col("rank") <= k).join(grades, [query_id, id_col]).filter("grade > 0")
+    ``counts`` (``query_id, grade, n``: how many rows have each grade above 0; a query
+    without any has a row of grade 0). ``graded`` has the ranked rows with their
+    ``grade``. The ideal order follows from the counts, so relevant rows that weren't
+    found are never listed. Precision divides by ``k``, whatever was returned; without
+    a relevant row recall and nDCG are 0."""
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + F.lit(1.0))
+    hits = graded.filter((F.col("rank") <= k) & (F.col("grade") > 0))
     got = hits.groupBy(query_id).agg(F.count("*").alias("_hits"), F.min("rank").alias("_first"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("_dcg"))
-    order = Window.partitionBy(query_id).orderBy(F.col("grade").desc(), id_col)
-    ideal = grades.filter("grade > 0").withColumn("_i", F.row_number().over(order)).groupBy(query_id).agg(F.count("*").alias("_relevant"), F.sum(F.when(F.col("_i") <= k, gain(F.col("grade"), F.col("_i")))).alias("_ideal"))
-    all_ = grades.select(query_id).distinct().join(ideal, query_id, "left").join(got, query_id, "left").fillna(0, ["_hits", "_relevant"]).fillna(0.0, ["_dcg", "_ideal"])
+    better = F.coalesce(F.sum("n").over(Window.partitionBy(query_id).orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.filter("grade > 0").withColumn("_before", better).withColumn("_upto", F.least(F.col("_before") + F.col("n"), F.lit(k)))
+    own = F.when(F.col("_upto") > F.col("_before"), F.aggregate(F.sequence(F.col("_before") + 1, F.col("_upto")), F.lit(0.0), lambda a, i: a + gain(F.col("grade"), i)))
+    ideal = places.groupBy(query_id).agg(F.sum("n").alias("_relevant"), F.sum(own).alias("_ideal"))
+    all_ = counts.select(query_id).distinct().join(ideal, query_id, "left").join(got, query_id, "left").fillna(0, ["_hits", "_relevant"]).fillna(0.0, ["_dcg", "_ideal"])
     return all_.select(
         query_id,
         (F.col("_hits") / F.lit(float(k))).alias("precision_at_k"),
@@ -115,6 +124,12 @@ def ranking_metrics(ranked: DataFrame, grades: DataFrame, *, k: int, query_id: s
     )
 
 
+def ranking_metrics(ranked: DataFrame, grades: DataFrame, *, k: int, query_id: str = "query_id", id_col: str = "vec_id") -> DataFrame:
+    """The same from judgements (``query_id, id, grade``)."""
+    graded = ranked.filter(F.col("rank") <= k).join(grades, [query_id, id_col])
+    return graded_metrics(graded, grades.groupBy(query_id, "grade").agg(F.count("*").alias("n")), k=k, query_id=query_id)
+
+
 def macro(metrics: DataFrame) -> DataFrame:
     names = [c for c, t in metrics.dtypes if t == "double"]
     return metrics.agg(F.count("*").alias("queries"), *[F.avg(c).alias(f"mean_{c}") for c in names])

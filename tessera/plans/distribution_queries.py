@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels, verdicts
 from tessera.operators import distributions as dist
+from tessera.sources.shared import written
 from tessera.sources.tables import load
 
 
@@ -38,7 +39,11 @@ def _styles(spark, d) -> DataFrame:
 
 
 def _families(spark, d) -> DataFrame:
-    out = _styles(spark, d).groupBy("status", labels.family_of("label").alias("label")).agg(F.sum("score").alias("score"))
+    return _families_of(_styles(spark, d))
+
+
+def _families_of(styles: DataFrame) -> DataFrame:
+    out = styles.groupBy("status", labels.family_of("label").alias("label")).agg(F.sum("score").alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy(F.round("score", 9).desc(), "label")))
 
 
@@ -53,7 +58,8 @@ def family_rollup(spark, d):
 
 def distribution_drift(spark, d):
     """Cosine, divergence and top overlap of the families of every pair of statuses."""
-    own = dist.shares(_families(spark, d), ["status"], "score").select("status", "label", "share", "rank")
+    families = written(_families(spark, d), "families")  # a row for each status and family, used on both sides of each pair
+    own = dist.shares(families, ["status"], "score").select("status", "label", "share", "rank")
     pairs = own.select("status").distinct().withColumnRenamed("status", "a").join(own.select(F.col("status").alias("b")).distinct(), F.col("a") < F.col("b"))
     side = lambda which: pairs.join(own, F.col(which) == F.col("status")).select("a", "b", "label", "share", "rank")
     left, right = side("a"), side("b")
@@ -64,8 +70,9 @@ def distribution_drift(spark, d):
 def resolve_top2_family(spark, d):
     """The verdict on each brand's lines by type, and on each status."""
     ranked = lambda rows, n: rows.filter(F.col("rank") <= n).groupBy("status").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))), lambda s: F.struct(s["label"].alias("label"), F.round(s["score"], 9).alias("score"))).alias("x"))
-    styles = _styles(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy(F.round("score", 9).desc(), "label")))
-    both = ranked(styles, 15).withColumnRenamed("x", "styles").join(ranked(_families(spark, d), 15).withColumnRenamed("x", "families"), "status")
+    scores = written(_styles(spark, d), "styles")  # a row for each status and style
+    styles = scores.withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy(F.round("score", 9).desc(), "label")))
+    both = ranked(styles, 15).withColumnRenamed("x", "styles").join(ranked(_families_of(scores), 15).withColumnRenamed("x", "families"), "status")
     out = verdicts.resolve(both)
     return out.select("status", "resolved", "classification", "confidence", "primary_family", "secondary_family", "secondary_style", *[F.round(c, 5).alias(c) for c in ("family_margin", "family_ratio", "style_margin")])
 
