@@ -119,7 +119,7 @@ def optional_float(x: str | Column) -> Column:
 
 
 def tempo_relation(left: str | Column, right: str | Column) -> Column:
-    """same, half-double, different, or unknown: within max(1, 2.5 %)."""
+    """same, half-double, different, or unknown. The tolerance, max(1, 2.5 %)."""
     a, b = _col(left), _col(right)
     close = lambda x, y: F.abs(x - y) <= F.greatest(F.lit(1.0), 0.025 * F.greatest(F.abs(x), F.abs(y)))
     return F.when(a.isNull() | b.isNull() | (a <= 0) | (b <= 0), "unknown").when(close(a, b), "same").when(close(a * 2, b) | close(a, b * 2), "half-double").otherwise("different")
@@ -165,3 +165,78 @@ def spread(total: Column, count: Column) -> Column:
 def throughput(work: str | Column, seconds: str | Column) -> Column:
     """Work per second; null where there was no time."""
     return F.when(_col(seconds) > 0, _col(work) / _col(seconds))
+
+
+# How a tempo may be misread in a short loop, the beats that loops have, and the tempos looked for.
+TEMPO_RATIOS, LOOP_BEATS, SLOWEST, FASTEST, LONGEST_LOOP = (0.5, 2 / 3, 1.0, 1.5, 2.0), (8, 16, 32, 64, 128), 45.0, 240.0, 30.0
+
+
+def loop_tempo(bpm: str | Column, seconds: str | Column) -> Column:
+    """The tempo of a short loop: of the readings of a tempo the one whose beats come
+    nearest to a usual number of beats, if within a quarter of a beat and half a percent
+    of it, made exact; otherwise the tempo as it is."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("ratio"), F.lit(abs(r - 1)).alias("far"), F.lit(n).alias("beats")) for r in TEMPO_RATIOS for n in LOOP_BEATS])
+
+    def reading(x: Column, p: Column) -> Column:
+        tempo = x["bpm"] * p["ratio"]
+        error = F.abs(x["seconds"] * tempo / 60.0 - p["beats"])
+        return F.struct((error / p["beats"]).alias("share"), error.alias("error"), p["far"].alias("far"), tempo.alias("tempo"), p["beats"].alias("beats"))
+
+    def exact(x: Column, best: Column) -> Column:
+        tempo = best["beats"] * 60.0 / x["seconds"]
+        usable = (x["bpm"] > 0) & (x["seconds"] > 0) & (x["seconds"] <= LONGEST_LOOP) & (best["error"] <= 0.25) & (best["share"] <= 0.005) & tempo.between(SLOWEST, FASTEST)
+        return F.when(F.coalesce(usable, F.lit(False)), tempo).otherwise(x["bpm"])
+
+    # Bound to variables, so that no part is written or computed twice.
+    once = F.array(F.struct(_col(bpm).cast("double").alias("bpm"), _col(seconds).cast("double").alias("seconds")))
+    best = lambda x: F.array(F.array_min(F.filter(F.transform(pairs, lambda p: reading(x, p)), lambda y: y["tempo"].between(SLOWEST, FASTEST))))
+    return F.get(F.flatten(F.transform(once, lambda x: F.transform(best(x), lambda y: exact(x, y)))), 0)
+
+
+def even_starts(total: str | Column, width: int, count: int) -> Column:
+    """The starts of at most ``count`` windows of ``width`` spread evenly from the first to
+    the last that fits, each once; a total that isn't longer has one window, to be filled up."""
+    last = _col(total).cast("long") - width
+    n = F.least(F.lit(count).cast("long"), last + 1)
+    steps = F.greatest(n - 1, F.lit(1))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: F.floor(i * last.cast("double") / steps)))
+    return F.when(last <= 0, F.array(F.lit(0).cast("long"))).otherwise(places)
+
+
+def path_identity(path: str | Column) -> Column:
+    """What stands for the contents of a file that can't be read."""
+    return F.concat(F.lit("path:"), F.sha2(_col(path), 256))
+
+
+def version_triple(version: str | Column) -> Column:
+    """The first three numbers of a version, before any build mark; missing ones are 0."""
+    numbers = F.regexp_extract_all(F.split_part(_col(version), F.lit("+"), F.lit(1)), F.lit("(\\d+)"))
+    return F.slice(F.concat(F.transform(numbers, lambda x: x.cast("int")), F.array(*[F.lit(0)] * 3)), 1, 3)
+
+
+def marked_value(text: str | Column, marker: str, pattern: str = "[0-9a-fA-F]{40}") -> Column:
+    """What follows a marker in a text, in lower case, or null."""
+    return F.nullif(F.lower(F.regexp_extract(_col(text), f"(?i){marker}\\s*({pattern})", 1)), F.lit(""))
+
+
+def like_existing(old: str | Column, value: str | Column) -> Column:
+    """A number written as the old text was: with its decimal mark, eight decimals, or as a whole number."""
+    x = _col(value).cast("double")
+    fixed = F.format_string("%.8f", x)
+    whole = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(fixed)
+    return F.when(F.contains(_col(old), F.lit(",")), F.replace(fixed, F.lit("."), F.lit(","))).when(F.contains(_col(old), F.lit(".")), fixed).otherwise(whole)
+
+
+def memory_free(used: str | Column, total: str | Column) -> Column:
+    return F.when(_col(used).isNotNull() & _col(total).isNotNull(), F.greatest(F.lit(0.0), _col(total) - _col(used)))
+
+
+def memory_percent(used: str | Column, total: str | Column) -> Column:
+    return F.when(_col(total) != 0, 100.0 * _col(used) / _col(total))
+
+
+def source_label(kind: Column, subtype: Column, rate: Column, bits: Column, channels: Column, kbps: Column) -> Column:
+    """A line on a source: format, rate, depth, channels and bit rate, as far as known."""
+    khz = F.regexp_replace(F.format_string("%.3f", rate / 1000.0), "\\.?0+$", "")
+    sides = F.when(channels == 1, "mono").when(channels == 2, "stereo").otherwise(F.concat(channels.cast("string"), F.lit(" channels")))
+    return F.concat_ws(" | ", F.concat_ws(" ", kind, subtype), F.concat(khz, F.lit(" kHz")), F.concat(F.nullif(bits, F.lit(0)).cast("string"), F.lit("-bit")), sides, F.concat(F.format_string("%.0f", F.bround(kbps, 0)), F.lit(" kbps")))

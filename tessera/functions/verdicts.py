@@ -18,7 +18,7 @@ DRIFT_CRITICAL, DRIFT_LARGE, DRIFT_MODERATE, LOW_OVERLAP = 0.45, 0.20, 0.08, 0.5
 
 
 def human_style(label: Column) -> Column:
-    """A style's name; generic ones get their family."""
+    """A style's name; generic ones get their family. Which are generic, and how each is named."""
     family, leaf = F.trim(family_of(label)), F.trim(style_of(label))
     named = F.when(leaf == "Vocal", F.when(family == "Pop", F.lit("Vocal Pop")).otherwise(F.concat(family, F.lit(" Vocal"))))
     named = named.when(leaf.isin("Ballad", "Parody"), F.concat_ws(" ", family, leaf)).when(leaf == "Acoustic", F.concat(F.lit("Acoustic "), family))
@@ -75,21 +75,21 @@ def resolve(df: DataFrame, styles: str = "styles", families: str = "families") -
 def severity(*, broad_match: Column, both_high: Column, js: Column, class_match: Column, tempo: Column, resolved_match: Column, key_match: Column, overlap: Column) -> tuple[Column, Column]:
     """Severity and reason of a drift; the first rule that applies decides."""
     rules = [
-        (~broad_match & both_high, "CRITICAL", "high-confidence broad-family contradiction"),
-        (js >= DRIFT_CRITICAL, "CRITICAL", "very large broad-distribution drift"),
-        (~broad_match, "SIGNIFICANT", "broad family changed"),
-        (~class_match, "SIGNIFICANT", "primary/hybrid classification changed"),
-        (js >= DRIFT_LARGE, "SIGNIFICANT", "large broad-distribution drift"),
-        (tempo == "different", "SIGNIFICANT", "tempo is not equivalent, half-time or double-time"),
-        (~resolved_match, "MINOR", "resolved fine style changed within the same broad family"),
-        (js >= DRIFT_MODERATE, "MINOR", "moderate broad-distribution drift"),
-        (~key_match, "MINOR", "key/mode changed"),
-        (overlap < LOW_OVERLAP, "MINOR", "detailed Top-N style overlap is low"),
+        (~broad_match & both_high, "CRITICAL", "both verdicts are sure and name different families"),
+        (js >= DRIFT_CRITICAL, "CRITICAL", "family distributions lie very far apart"),
+        (~broad_match, "SIGNIFICANT", "another family"),
+        (~class_match, "SIGNIFICANT", "one verdict is primary, the other hybrid"),
+        (js >= DRIFT_LARGE, "SIGNIFICANT", "family distributions lie far apart"),
+        (tempo == "different", "SIGNIFICANT", "tempos are not equal, half or double"),
+        (~resolved_match, "MINOR", "another style of the same family"),
+        (js >= DRIFT_MODERATE, "MINOR", "family distributions differ somewhat"),
+        (~key_match, "MINOR", "another key or mode"),
+        (overlap < LOW_OVERLAP, "MINOR", "the best styles have little in common"),
     ]
     level, reason = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
     for when, a, b in rules[1:]:
         level, reason = level.when(when, a), reason.when(when, b)
-    return level.otherwise("STABLE"), reason.otherwise("genre evidence is convergent")
+    return level.otherwise("STABLE"), reason.otherwise("the evidence agrees")
 
 
 def convergence_level(worst: Column) -> Column:
@@ -100,7 +100,7 @@ def comparable(left_quality: Column, right_quality: Column, left_resolved: Colum
     """Whether two runs' verdicts can be compared, and why not."""
     short = (left_quality == "INSUFFICIENT_AUDIO") | (right_quality == "INSUFFICIENT_AUDIO")
     missing = left_resolved.isNull() | right_resolved.isNull()
-    why = F.when(short, "genre verdict unavailable because short-input QC marks audio insufficient").when(missing, "one side has no resolved genre verdict").otherwise("")
+    why = F.when(short, "too little audio for a verdict on one side").when(missing, "no verdict on one side").otherwise("")
     return ~F.coalesce(short, F.lit(False)) & ~missing, why
 
 

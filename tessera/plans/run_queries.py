@@ -162,18 +162,18 @@ _PAIRS = f"""WITH v AS ({_LATEST_BY.format(k="o_orderstatus")}), p AS (
   SELECT l.o_custkey, l.o_orderkey AS lk, r.o_orderkey AS rk, l.o_orderpriority AS lp, r.o_orderpriority AS rp, l.o_totalprice AS a, r.o_totalprice AS b
   FROM v l JOIN v r ON l.o_custkey = r.o_custkey WHERE l.rn = 1 AND r.rn = 1 AND l.o_orderstatus = 'F' AND r.o_orderstatus = 'O')"""
 _RULES = [
-    ("lp <> rp AND left(lp, 1) IN ('1', '2') AND left(rp, 1) IN ('1', '2')", "CRITICAL", "high-confidence broad-family contradiction"),
-    ("abs(a - b) / (a + b) >= 0.45::DOUBLE", "CRITICAL", "very large broad-distribution drift"),
-    ("lp <> rp", "SIGNIFICANT", "broad family changed"),
-    ("lk % 2 <> rk % 2", "SIGNIFICANT", "primary/hybrid classification changed"),
-    ("abs(a - b) / (a + b) >= 0.20::DOUBLE", "SIGNIFICANT", "large broad-distribution drift"),
-    (relation_sql("a", "b") + " = 'different'", "SIGNIFICANT", "tempo is not equivalent, half-time or double-time"),
-    ("lk % 3 <> rk % 3", "MINOR", "resolved fine style changed within the same broad family"),
-    ("abs(a - b) / (a + b) >= 0.08::DOUBLE", "MINOR", "moderate broad-distribution drift"),
-    ("lk % 5 <> 0 AND lk % 7 <> rk % 7", "MINOR", "key/mode changed"),
-    ("least(a, b) / greatest(a, b) < 0.5::DOUBLE", "MINOR", "detailed Top-N style overlap is low"),
+    ("lp <> rp AND left(lp, 1) IN ('1', '2') AND left(rp, 1) IN ('1', '2')", "CRITICAL", "both verdicts are sure and name different families"),
+    ("abs(a - b) / (a + b) >= 0.45::DOUBLE", "CRITICAL", "family distributions lie very far apart"),
+    ("lp <> rp", "SIGNIFICANT", "another family"),
+    ("lk % 2 <> rk % 2", "SIGNIFICANT", "one verdict is primary, the other hybrid"),
+    ("abs(a - b) / (a + b) >= 0.20::DOUBLE", "SIGNIFICANT", "family distributions lie far apart"),
+    (relation_sql("a", "b") + " = 'different'", "SIGNIFICANT", "tempos are not equal, half or double"),
+    ("lk % 3 <> rk % 3", "MINOR", "another style of the same family"),
+    ("abs(a - b) / (a + b) >= 0.08::DOUBLE", "MINOR", "family distributions differ somewhat"),
+    ("lk % 5 <> 0 AND lk % 7 <> rk % 7", "MINOR", "another key or mode"),
+    ("least(a, b) / greatest(a, b) < 0.5::DOUBLE", "MINOR", "the best styles have little in common"),
 ]
-_LADDER = _PAIRS + ", s AS (SELECT *, CASE " + " ".join(f"WHEN {w} THEN '{s}'" for w, s, _ in _RULES) + " ELSE 'STABLE' END AS severity, CASE " + " ".join(f"WHEN {w} THEN '{r}'" for w, _, r in _RULES) + " ELSE 'genre evidence is convergent' END AS reason FROM p)"
+_LADDER = _PAIRS + ", s AS (SELECT *, CASE " + " ".join(f"WHEN {w} THEN '{s}'" for w, s, _ in _RULES) + " ELSE 'STABLE' END AS severity, CASE " + " ".join(f"WHEN {w} THEN '{r}'" for w, _, r in _RULES) + " ELSE 'the evidence agrees' END AS reason FROM p)"
 _SEVERITY_VALUES = "(VALUES ('STABLE', 0), ('MINOR', 1), ('SIGNIFICANT', 2), ('CRITICAL', 3))"
 _MODES = f"""WITH m AS ({_LATEST_BY.format(k="o_orderpriority")}), p AS (
   SELECT l.o_custkey, l.o_orderpriority AS left_mode, r.o_orderpriority AS right_mode, {relation_sql("l.o_totalprice", "r.o_totalprice")} AS relation

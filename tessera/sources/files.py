@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,105 @@ def write_csv(df: DataFrame, path: str, joined: str = "; ") -> None:
 
 def write_json(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def wav_header(content: str | Column) -> Column:
+    """``rate, channels, bits, seconds, kbps`` from the header of PCM WAV bytes; null for other files."""
+    head = F.substring(_bytes(content), 1, 4096)
+    text = F.decode(head, "ISO-8859-1")
+
+    def number(at: Column, size: int) -> Column:
+        return sum(F.ascii(F.substr(text, at + i, F.lit(1))).cast("long") * F.lit(1 << (8 * i)) for i in range(size))
+
+    fmt, data = F.locate("fmt ", text), F.locate("data", text)
+    channels, rate, bits, size = number(fmt + 10, 2), number(fmt + 12, 4), number(fmt + 22, 2), number(data + 4, 4)
+    good = (F.substring(text, 1, 4) == "RIFF") & (fmt > 0) & (data > 0)
+    own = F.struct(rate.alias("rate"), channels.cast("int").alias("channels"), bits.cast("int").alias("bits"), F.try_divide(size, rate * channels * bits / 8).alias("seconds"), (rate * channels * bits / 1000.0).alias("kbps"))
+    return F.when(good, own)
+
+
+def _bytes(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def chain_names(data: str | Column) -> Column:
+    """The names of a chain: base64 of records of a zero byte, a length of four bytes (least first) and
+    a name. A null member stands where the bytes don't go on so."""
+
+    @F.pandas_udf("array<string>")
+    def names(chains: pd.Series) -> pd.Series:
+        def read(raw: bytes | None) -> list[str | None] | None:
+            if raw is None:
+                return None
+            out, at = [], 0
+            while at < len(raw):
+                end = at + 5 + int.from_bytes(raw[at + 1 : at + 5], "little")
+                if raw[at] or end > len(raw) or end == at + 5:
+                    return [*out, None]
+                out.append(raw[at + 5 : end].decode("utf-8", "replace"))
+                at = end
+            return out
+
+        return chains.map(read)
+
+    return names(F.unbase64(_bytes(data)))
+
+
+def chain_of(names: str | Column) -> Column:
+    """The chain of some names, as base64."""
+
+    def record(name: Column) -> Column:
+        size = F.lpad(F.hex(F.octet_length(name).cast("long")), 8, "0")
+        return F.concat(F.lit("00"), *[F.substring(size, i, 2) for i in (7, 5, 3, 1)], F.hex(F.encode(name, "UTF-8")))
+
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(_bytes(names), record), ""))), "\\s", "")
+
+
+def patch_map(text: str | Column) -> Column:
+    """``element, param, value`` of a JSON object of objects, as an array."""
+    outer = F.map_entries(F.from_json(_bytes(text), "map<string,map<string,string>>"))
+    return F.flatten(F.transform(outer, lambda e: F.transform(F.map_entries(e["value"]), lambda p: F.struct(e["key"].alias("element"), p["key"].alias("param"), p["value"].alias("value")))))
+
+
+def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of one JSON object each, such as registries and states, with their file names."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def violations(value: Column, schema: dict, path: str = "$") -> Column:
+    """What breaks a contract in a JSON text, as an array of ``path: reason``: type, enum, required, further
+    properties, items, least length, least and greatest number. A schema is a plan of expressions, not of rows."""
+    found = []
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    types = {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "integer": kind == "BIGINT", "number": is_number}
+
+    def when(broken: Column, why: str) -> None:
+        found.append(F.when(F.coalesce(broken, F.lit(False)), F.lit(f"{path}: {why}")))
+
+    if "type" in schema:
+        when(kind.isNull() | ~types[schema["type"]], f"is no {schema['type']}")
+    if "enum" in schema:
+        when(~value.isin([json.dumps(v) for v in schema["enum"]]), "is none of its values")
+    keys = F.when(types["object"], F.json_object_keys(value))
+    for key in schema.get("required", []):
+        when(~F.array_contains(keys, key), f"lacks {key}")
+    properties = schema.get("properties", {})
+    if schema.get("additionalProperties") is False:
+        when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in properties]))) > 0, "has further properties")
+    text = F.when(types["string"], F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"])
+    if "minLength" in schema:
+        when(F.length(text) < schema["minLength"], f"is shorter than {schema['minLength']}")
+    number = F.when(is_number, value.try_cast("double"))
+    if "minimum" in schema:
+        when(number < schema["minimum"], f"is below {schema['minimum']}")
+    if "maximum" in schema:
+        when(number > schema["maximum"], f"is above {schema['maximum']}")
+    own = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    parsed = F.from_json(F.when(types["object"], value), "map<string,string>")
+    for key, child in properties.items():
+        # Strings lose their quotes in a map: they get them back, so that a child is JSON text again.
+        raw = F.when(F.array_contains(keys, key), F.coalesce(parsed[key], F.lit("null")))
+        quoted = F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), f"$.{key}", "variant")) == "STRING", F.concat(F.lit('"'), F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(raw)
+        own = F.concat(own, F.when(raw.isNotNull(), violations(quoted, child, f"{path}.{key}")).otherwise(F.array().cast("array<string>")))
+    return own
