@@ -7,10 +7,11 @@ than ``max(min_docs, min(most_docs, share * documents of the host))`` have it:
 a share of a small host, an absolute count in a large one. A document that keeps
 less than ``min_left`` of its words is rejected.
 
-Lines are split and hashed once and written as digests. Counting combines before
-it shuffles; the lines above a limit are joined back by (host, hash), which the
-planner broadcasts only below its own threshold and may split where a line is
-skewed. Only the places of removed lines go back to the texts.
+Lines are hashed and written as digests, and counted with partial aggregation. If
+at most ``few`` lines are above a limit, their digests go to every task and texts
+aren't shuffled; else they are joined with the lines by (host, hash), where the
+planner may split skewed ones, and the places of removed lines with the texts. Both
+ways give the same rows.
 
 Defined cases: a null text has no words and fails the base rules; a null host
 is a host of its own; rows that repeat an id count as one document of a line,
@@ -75,8 +76,23 @@ def repeated_words(tokens: str, docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_grams", "_twice", "_sorted", "_starts")
 
 
+def _with_gone(rows: DataFrame, lines: DataFrame, frequent: DataFrame, are_few: bool) -> DataFrame:
+    """Adds ``gone``: the places of a text's lines to be removed, with their numbers of words, or null."""
+    if are_few:
+        bad = frequent.groupBy("host").agg(F.collect_list("h").alias("bad"))
+        own = lambda x, i: F.when(x.rlike(NOT_SPACE) & F.array_contains("bad", line_hash(x)), F.struct(i.alias("pos"), F.size(words(x)).alias("n")))
+        found = F.filter(F.transform(F.split("text", "\n"), own), lambda x: x.isNotNull())
+        rows = rows.join(F.broadcast(bad), "host", "left").withColumn("gone", F.when(F.col("bad").isNotNull(), found))
+        return rows.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone"))).drop("bad", "host", "key")
+    gone = lines.join(frequent, ["host", "h"]).groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("host").alias("gone_host"))
+    gone = written(gone.agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone")), "gone")
+    # Rows of one id and text may have several hosts: each loses what its own host removes.
+    same = rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["key"] == gone["gone_key"]) & (rows["host"] == gone["gone_host"])
+    return rows.join(gone, same, "left").drop("host", "key", "gone_id", "gone_key", "gone_host")
+
+
 def quality_rules(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, most_docs: int = 1000, share: float = 0.05, min_left: float = 0.5, cleaned: bool = False, carry: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, most_docs: int = 1000, share: float = 0.05, min_left: float = 0.5, few: int = 2000, cleaned: bool = False, carry: bool = False
 ) -> DataFrame:
     """The counts and the verdict for each row of ``docs``: ``doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -87,12 +103,7 @@ def quality_rules(
     lines = written(hashed_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col), "lines")
     documents = rows.select("host", "doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("other")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     frequent = written(frequent_lines(lines, documents, min_docs=min_docs, most_docs=most_docs, share=share), "frequent")
-    gone = lines.join(frequent, ["host", "h"]).groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("host").alias("gone_host"))
-    gone = written(gone.agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone")), "gone")
-
-    # Rows of one id and text may have several hosts: each loses what its own host removes.
-    same = rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["key"] == gone["gone_key"]) & (rows["host"] == gone["gone_host"])
-    rows = rows.join(gone, same, "left").drop("host", "key", "gone_id", "gone_key", "gone_host")
+    rows = _with_gone(rows, lines, frequent, frequent.limit(few + 1).count() <= few)
     rows = rows.withColumn("_words", words(F.col("text"))).withColumn("_lines", lines_of(F.col("text")))
     rows = repeated_words("_words", rows)
     n_words = F.size("_words").cast("long")

@@ -81,6 +81,21 @@ def test_short_tails_of_a_topic_share_windows():
     assert len(sequences) == 8 and all(len({topic[t] for t, _, _ in s}) == 1 for s in sequences)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packs_as_the_plainest_greedy_packer(seed):
+    r = np.random.default_rng(seed)
+    tails = [np.concatenate([r.integers(0, 40, r.integers(1, 30)) + 40 * r.integers(0, 3), r.integers(120, 400, r.integers(0, 8))]).astype(np.uint32) for _ in range(150)]
+    idf = r.integers(1, 9, 400).astype(np.float32)
+    mean = float(np.mean([len(t) for t in tails]))
+    index = packing.Index(tails, idf, mean)
+    weights = {}
+    for i, t in enumerate(tails):
+        for term, count in zip(*np.unique(t, return_counts=True)):
+            weights[term, i] = float(idf[term]) * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * len(t) / mean))
+    assert all(np.allclose(index.scores(i), [sum(weights.get((t, k), 0.0) for t in set(tails[i].tolist())) for k in range(150)]) for i in range(0, 150, 7))
+    assert packing.pack_shard(tails, idf, mean, 128) == brute.pack([t.tolist() for t in tails], lambda t, i: weights.get((t, i), 0.0), 128)
+
+
 def test_all_places_are_ranked():
     score = np.random.default_rng(6).integers(0, 30, 500).astype(float)
     want = sorted(np.flatnonzero(score).tolist(), key=lambda i: (-score[i], i))
@@ -138,6 +153,57 @@ def test_quality_of_held_out_documents(spark, data):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in held)
 
 
+def test_scores_do_not_depend_on_the_partitions(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    learn = F.col("doc_id") % 5 != 0
+    one, many = ({r.doc_id: r.score for r in quality_classifier.classify(docs.repartition(n), labels.repartition(n), learn, part_rows=20, rounds=2).collect()} for n in (1, 7))
+    assert one == many and len(one) == docs.count()
+    one, many = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs.repartition(n), learn, passes=2).collect()} for n in (1, 7))
+    assert one == many
+
+
+def test_of_several_labels_the_majority_counts(spark):
+    docs = spark.createDataFrame([(i, f"good{i % 7} text" if i % 2 else f"bad{i % 7} words") for i in range(80)] + [(1, "another text of that id")], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(80)]
+    noisy = [(i, 1 - q) for i, q in labels if i % 3 == 0] + [x for x in labels if x[0] % 3 == 0] * 2
+    fit = lambda rows: {(r.doc_id, r.score) for r in quality_classifier.classify(docs, spark.createDataFrame(rows, "doc_id long, quality int"), F.lit(True)).collect()}
+    assert fit(labels) == fit(labels + noisy) and len(fit(labels)) == 81
+
+
+def test_scores_equal_a_plain_machine():
+    r = np.random.default_rng(8)
+    w, v = r.normal(0, 0.1, quality_classifier.SIZE), r.normal(0, 0.1, (quality_classifier.SIZE, 8))
+    for text in ("One two, two three.\nOne two 3 # é\n", "", "word", "a b c d e f g h " * 5):
+        index, value = quality_classifier.features(text, quality_classifier.Slots())
+        plain = {}
+        for word in text.encode().lower().split():
+            slot = quality_classifier.Slots()[word]
+            plain[slot] = plain.get(slot, 0) + 1
+        n = max(1, len(text.split()))
+        hashed = {int(i): float(x) for i, x in zip(index, value) if i < quality_classifier.HASHED}
+        assert hashed == pytest.approx({i: (c / n) ** 0.5 for i, c in plain.items()})
+        got = quality_classifier.sigmoid(quality_classifier.margin(index, value, 0.1, w, v)[0])
+        assert np.isclose(got, brute.machine_score(dict(zip(index.tolist(), value.tolist())), 0.1, w, v))
+
+
+def test_languages_equal_the_plain_nearest_centroid(spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(12).collect()] + ["Ä b", "x", "12"]
+    r = np.random.default_rng(9)
+    idf = r.uniform(1, 5, language_id.DIMENSIONS).astype(np.float32)
+
+    def slot(gram):
+        codes = [ord(c) for c in gram] + [0, 0]
+        h = codes[0] + codes[1] * 0x1F123BB5 + codes[2] * 0x5BD1E995 + (len(gram) - 1 << 40)
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> 50
+
+    plain = [brute.language_vector(t, slot, idf) for t in texts]
+    for text, want in zip(texts, plain):
+        got = language_id.vector(text, idf)
+        assert (got is None) == (want is None)
+        if want is not None:
+            assert {int(i): float(got[i]) for i in np.flatnonzero(got)} == pytest.approx(want, rel=1e-4)
+
+
 def test_the_sum_of_squares_identity():
     r = np.random.default_rng(4)
     w, v, index, value = r.random(9), r.random((9, 3)), np.array([1, 4, 5, 8]), r.random(4)
@@ -204,3 +270,14 @@ def test_exact_stage_keeps_one_row_of_each_text(spark):
     kept = sorted((str(r.doc_id), r.text or "", str(r.source)) for r in got.collect())
     assert [k[:2] for k in kept] == [("5", "other text"), ("5", "same  text"), ("7", "with id"), ("9", "alone"), ("None", ""), ("None", "no id")]
     assert kept[-1][2] == "s1"
+
+
+def test_models_take_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "kala mila tona", "aa"), (1, "xyzzy qwert plugh", "bb"), (1, "kala mila tona", "aa"), (None, "kala tona", None), (2, None, "aa"), (3, "", None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, part string, place int").withColumn("ids", F.lit(1))
+    got = sorted((str(r.doc_id), r.lang_pred) for r in language_id.identify(docs, F.lit(True)).collect())
+    assert got == [("1", "aa"), ("1", "aa"), ("1", "bb"), ("2", "und"), ("3", "und"), ("None", "aa")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_classifier.classify(docs.withColumn("label", F.lit("clash")), labels, F.lit(True)).count() == len(rows)
+    pieces = packing.packed(docs).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == ["1", "1", "1", "2", "3", "None"]

@@ -100,3 +100,27 @@ def test_intervals_of_the_index():
         k = text[p : p + 50].tobytes()
         want[k] = min(want.get(k, 99), doc[p])
     assert all(got[p] == want[text[p : p + 50].tobytes()] for p in places)
+
+
+def test_one_id_with_several_texts(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("x", 200), ("y", 60), ("z", 61)))
+    rows = [(0, x), (1, x + " q"), (1, y), (1, y), (2, y + " q"), (2, z), (3, z + " " + y), (3, z), (None, z), (4, None), (4, z + " end")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(((i, *r) for (i, _), r in zip(rows, brute.substring_rows(rows))), key=key)
+    near = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert len(near) == len(rows)
+    texts = {r.n_shingles: set() for r in near}
+    for r in near:
+        texts[r.n_shingles].add(r.component_id)
+    assert texts[198] == {0} == texts[199] and texts[58] == {1} and texts[59] <= {1, 2}
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i * 7 % 30_011}" for i in range(300_000))
+    rows = [(1, text), (2, text + " more"), (3, "x " * 200_000), (4, text[:50_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in minhash.near_dedup(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    sub = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert sub[1] == (300_000, 0) and sub[2] == (300_001, 300_000) and sub[3] == (200_000, 0) and sub[4][1] >= sub[4][0] - 1
