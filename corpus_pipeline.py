@@ -7,10 +7,11 @@ or leaves out documents; the last stage returns the pieces of the packed
 sequences. Each stage's rows are written as Parquet and read again, so a stage
 starts from files and a lost executor costs no earlier stage.
 
-No stage shuffles whole texts to attach a verdict to them. The rules and the
-mix carry the rows; the deduplicating stages write only what goes, by id, which
-the planner broadcasts as long as it is below its threshold, and else joins by
-shuffle. Rows without an id are never dealt by it.
+The rules and the mix carry the rows, so no verdict is joined with texts there. The
+deduplicating stages write only what goes: exact dedup joins it by id and text
+with one shuffle of the rows, whatever its size; near-dedup by id, where the planner
+broadcasts what goes as long as it is below its threshold. Rows without an id are
+never dealt by it alone.
 
 Rows that repeat an id share a verdict: the most lenient of theirs. Exact dedup
 judges each by its text, and keeps one row of each text, so copies with one id or
@@ -46,7 +47,7 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = verdict.groupBy("doc_id", "sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     again = written(again.filter("not kept or n > 1"), "again")
     gone = again.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
-    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["sha"] == gone["gone_sha"]), "left_anti")
+    kept = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["sha"] == gone["gone_sha"]), "left_anti")
     several = again.filter("kept").select("sha")
     if several.isEmpty():
         return kept.select(*_row(docs))
