@@ -7,7 +7,8 @@ an id last; all but the first are later ones. Lines are compared without white
 space at their ends; a window of blank lines only is no window. Covered
 positions of overlapping windows are merged before lines go.
 
-Texts are read twice, once for the windows and once to drop lines. Windows are
+Texts are read twice, once for the windows and once to drop lines, where they are
+shuffled once by id and digest. Windows are
 written once, as digests; they are counted with partial aggregation, so one
 window in a third of the documents costs one row a task, and the join back is on
 the hash, which the planner may split where it is skewed. Lines are cut out
@@ -45,7 +46,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     again = written(again, "again")
     later = windows.join(again, "h").filter(place > F.col("first"))
     gone = written(later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "gone")
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "starts")
+    # Its size grows with the corpus, so it is joined by shuffle at any size.
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "starts").hint("merge")
     found = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["key"] == gone["gone_key"]), "left")
     stays = F.when(F.col("starts").isNull(), F.col("lines")).otherwise(uncovered(F.col("lines"), F.col("starts"), span))
     found = found.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), stays.alias("stays"))
