@@ -239,4 +239,4 @@ def source_label(kind: Column, subtype: Column, rate: Column, bits: Column, chan
     """A line on a source: format, rate, depth, channels and bit rate, as far as known."""
     khz = F.regexp_replace(F.format_string("%.3f", rate / 1000.0), "\\.?0+$", "")
     sides = F.when(channels == 1, "mono").when(channels == 2, "stereo").otherwise(F.concat(channels.cast("string"), F.lit(" channels")))
-    return F.concat_ws(" | ", F.concat_ws(" ", kind, subtype), F.concat(khz, F.lit(" kHz")), F.concat(F.nullif(bits, F.lit(0)).cast("string"), F.lit("-bit")), sides, F.concat(F.format_string("%.0f", F.bround(kbps, 0)), F.lit(" kbps")))
+    return F.concat_ws(" | ", F.concat_ws(" ", kind, subtype), F.concat(khz, F.lit(" kHz")), F.concat(F.nullif(bits, F.lit(0)).cast("string"), F.lit("-bit")), sides, F.when(kbps.isNotNull(), F.format_string("%.0f kbps", F.bround(kbps, 0))))

@@ -20,6 +20,11 @@ MONO_BANDS = [("low_20_120", 20.0, 120.0), ("low_mid_120_500", 120.0, 500.0), ("
 N_MFCC, N_CHROMA, N_CONTRAST = 20, 12, 7  # Fixed values: the sizes of the three families of the acoustic vector
 
 
+def none(**kinds: type) -> pd.DataFrame:
+    """No rows of these columns."""
+    return pd.DataFrame({k: pd.Series([], dtype=t) for k, t in kinds.items()})
+
+
 def _file(*order: str) -> Window:
     return Window.partitionBy("path").orderBy(*order)
 
@@ -83,7 +88,7 @@ def tempo(strength: DataFrame, steps_per_second: float, slowest: float = 45.0, f
         bpm = 60 * steps_per_second / np.maximum(lags, 1)
         score = power[lags] / np.maximum(len(x) - lags, 1) * np.exp(-0.5 * np.log2(bpm / 120) ** 2)
         if not len(lags) or score.max() <= 0:
-            return pd.DataFrame({"path": [], "bpm": []})
+            return none(path=object, bpm=float)
         i = int(score.argmax())
         a, b, c = (power[lags[i] + k] if 0 <= lags[i] + k < len(power) else power[lags[i]] for k in (-1, 0, 1))
         shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
@@ -164,7 +169,7 @@ def best_lag(reference: DataFrame, candidate: DataFrame, most: int) -> DataFrame
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"path": [], "lag": [], "correlation": []})
+            return none(path=object, lag=int, correlation=float)
         x, y = (p.sort_values("t")["smooth"].to_numpy() for p in (a, b))
         x, y = x - x.mean(), y - y.mean()
         n = 1 << (len(x) + len(y)).bit_length()
@@ -199,6 +204,8 @@ def prominent_peaks(series: DataFrame, column: str = "residual", least: float =
             rise = x[i] - max(x[a : i + 1].min(), x[i : b + 1].min())
             if rise >= least:
                 rows.append((part["path"].iloc[0], t[i], rise))
+        if not rows:
+            return none(path=object, t=int, prominence=float, peaks=int)
         best = sorted(sorted(rows, key=lambda r: (-r[2], r[1]))[:most], key=lambda r: r[1])
         return pd.DataFrame([(*r, len(rows)) for r in best], columns=["path", "t", "prominence", "peaks"])
 

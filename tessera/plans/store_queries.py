@@ -115,7 +115,7 @@ def segment_index_work(spark, d):
     media = load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item"), (F.col("p_retailprice") / 10).alias("duration"))
     plan = segments.plan_segments(media, "duration", most=5)
     catalog = plan.select(F.concat_ws(":", "item", "segment").alias("item"), "start_s", "end_s")
-    held = catalog.filter(F.crc32("item") % 3 == 0).select(F.lit("hash-16").alias("backend"), indexing.cache_key("hash-16").alias("key"))
+    held = catalog.filter(F.length("item") % 3 == 0).select(F.lit("hash-16").alias("backend"), indexing.cache_key("hash-16").alias("key"))
     return indexing.work(catalog, held, "hash-16").select("item", "start_s", "end_s")
 
 
@@ -171,6 +171,9 @@ SQL = {
         SELECT label, """ + ", ".join(f"round(max(m) FILTER (i = {i}), 6) AS x{i}" for i in range(4)) + " FROM n GROUP BY label",
     "chunk_plan": """WITH n AS (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN n <= 128 THEN [0] WHEN n % 128 = 0 THEN range(0, n - 127, 128) ELSE list_append(range(0, n - 127, 128), n - 128) END) AS start FROM n)
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk, start::INT AS start FROM s""",
+    "segment_index_work": """WITH t AS (SELECT p_partkey::VARCHAR AS k, p_retailprice / 10 AS s FROM part), c AS (SELECT *, CASE WHEN s >= 1 THEN least(ceil(s / 30), floor((s - 1) / 30) + 1) ELSE 0 END::INT AS n FROM t),
+        p AS (SELECT k, s, unnest(CASE WHEN n <= 5 THEN range(n) ELSE list_transform(range(5), lambda i: round_even(i * (n - 1)::DOUBLE / 4, 0)::BIGINT) END) AS i, unnest(range(least(n, 5))) AS g FROM c)
+        SELECT k || ':' || g AS item, round(i * 30.0::DOUBLE, 6) AS start_s, round(least(i * 30.0::DOUBLE + 30, s), 6) AS end_s FROM p WHERE length(k || ':' || g) % 3 <> 0""",
     "track_identity": """WITH l AS (SELECT p_name, p_size + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS size, p_partkey AS k FROM part WHERE p_partkey % 3 <> 0)
         SELECT part.p_name AS path, p_partkey AS modified, CASE WHEN k IS NULL THEN 'sha256:' || sha256(p_brand || '|' || p_type) ELSE 'known:' || k END AS track_id, k IS NULL AS hashed
         FROM part LEFT JOIN l ON part.p_name = l.p_name AND p_size = size AND p_partkey = k""",

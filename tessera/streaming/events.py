@@ -4,6 +4,7 @@ the same kind."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tessera.sources.shared import shared_dir
+
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of Parquet files. Times without a zone are taken as UTC, as
@@ -66,3 +69,20 @@ def keyed_sink(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all input that is there now, as a table: its batches are written to
+    the shared folder, in complete mode the last one alone."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    out = f"{folder}/{name}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not _exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

@@ -41,13 +41,14 @@ def by_path(df):
     return {r.path: r for r in df.collect()}
 
 
-def test_tempo_and_grid(framed):
-    spectrum = signal.spectra(framed.filter("path <> 'b'"), 64)
-    strength = rhythm.onset_strength(spectrum)
-    tempos = rhythm.tempo(strength, RATE / SIZE)
-    assert abs(by_path(tempos)["a"].bpm - 120) < 3 and "silence" not in by_path(tempos)
-    found = by_path(rhythm.rhythm(rhythm.onsets(strength), tempos, RATE / SIZE, lock_ms=40))
-    assert 20 <= found["a"].onset_count <= 26 and found["a"].gap_cv < 0.2 and found["a"].locked_ratio > 0.7 and "silence" not in found
+def test_tempo_and_grid(spark):
+    a = clicks(120, 12)
+    files = spark.createDataFrame([("a", wav(np.stack([a, a], 1))), ("silence", wav(np.zeros((RATE * 3, 1))))], "path string, content binary")
+    strength = rhythm.onset_strength(signal.spectra(signal.frames(files, 128), 32))  # 16 ms a frame
+    tempos = rhythm.tempo(strength, RATE / 128)
+    assert abs(by_path(tempos)["a"].bpm - 120) < 1 and "silence" not in by_path(tempos)
+    found = by_path(rhythm.rhythm(rhythm.onsets(strength, reach=8, wide=30), tempos, RATE / 128))
+    assert 22 <= found["a"].onset_count <= 25 and found["a"].gap_cv < 0.1 and found["a"].locked_ratio > 0.7 and "silence" not in found
 
 
 def test_series_windows(spark):
