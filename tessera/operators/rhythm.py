@@ -368,3 +368,18 @@ def resampled(framed: DataFrame, size: int, rate: int, reach: int = 16) -> DataF
             yield pd.DataFrame(rows, columns=["path", "rate", "frame", "left", "right"])
 
     return framed.select(*columns[:5], *[v.alias(k) for k, v in ends.items()]).mapInPandas(run, "path string, rate int, frame long, left array<float>, right array<float>")
+
+
+def active_level(series: DataFrame, wide: int = 400, hop: int = 200, gate_db: float = -30.0) -> DataFrame:
+    """``path, level``: the level of the windows of ``wide`` steps, every ``hop``, that lie within ``gate_db`` of the loudest. A file shorter than a window is one."""
+    over = _file("t").rowsBetween(0, wide - 1)
+    rows = series.withColumns({"_n": F.count("*").over(over), "_p": F.avg("power").over(over), "_all": F.count("*").over(Window.partitionBy("path"))})
+    whole = rows.filter((F.col("t") % hop == 0) & ((F.col("_n") == wide) | (F.col("_all") < wide) & (F.col("t") == 0)))
+    loudest = F.max("_p").over(Window.partitionBy("path"))
+    return whole.withColumn("_loudest", loudest).filter(F.col("_p") >= F.col("_loudest") * 10 ** (gate_db / 10)).groupBy("path").agg(F.sqrt(F.avg("_p")).alias("level"))
+
+
+def level_gain(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """``path, gain``: what brings the candidate to the reference's active level; 1 where one is silent."""
+    a, b = active_level(reference).withColumnRenamed("level", "_a"), active_level(candidate).withColumnRenamed("level", "_b")
+    return a.join(b, "path").select("path", F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_a") / F.col("_b")).otherwise(1.0).alias("gain"))

@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.labels import loop_tempo
+from tessera.operators import rhythm
+
 FRAMES = "path string, rate int, channels int, frame long, left array<float>, right array<float>"
 SILENCE_DB = -300.0
 
@@ -147,3 +150,25 @@ def chroma(spectrum: DataFrame, least_hz: float = 60.0, most_hz: float = 5000.0)
     hz = (F.col("band") + 0.5) * F.col("rate") / 2 / F.col("n")
     pitch = F.pmod(F.round(12 * F.log2(hz / 440.0)).cast("int") + 9, F.lit(12))
     return rows.filter(hz.between(least_hz, most_hz)).groupBy("path", pitch.alias("pitch")).agg(F.sum("p").alias("p"))
+
+
+def features(framed: DataFrame, size: int, rate: int) -> DataFrame:
+    """A row for each file of one rate: seconds, tempo, key, level, spectral shape and sign changes. Files
+    under ten seconds have no tempo and no key; a short loop's tempo is made exact."""
+    spectrum = spectra(framed)
+    tempos = rhythm.tempo(rhythm.onset_strength(spectrum), rate / size)
+    keys = estimate_key(chroma(spectrum)).select("path", "key", "mode")
+    own = levels(framed).select("path", "seconds", "rms", "sign_change_rate")
+    out = own.join(spectral_shape(spectrum), "path", "left").join(tempos, "path", "left").join(keys, "path", "left")
+    long = F.col("seconds") >= 10
+    bpm = F.round(loop_tempo("bpm", "seconds"), 2)
+    rounded = [F.round("seconds", 3).alias("seconds"), F.round("rms", 6).alias("rms"), F.round("sign_change_rate", 6).alias("sign_change_rate"), F.round("centroid_hz", 2).alias("centroid_hz"), F.round("rolloff_hz", 2).alias("rolloff_hz")]
+    return out.select("path", *rounded, F.when(long, bpm).alias("bpm"), F.when(long, F.col("key")).alias("key"), F.when(long, F.col("mode")).alias("mode"))
+
+
+def normalised(framed: DataFrame) -> DataFrame:
+    """Frames of mono means, brought down to a peak of 1 where a file exceeds it; files without samples have no row."""
+    mono = F.zip_with("left", "right", lambda a, b: (a + b) / 2)
+    peaks = framed.filter(F.size("left") > 0).groupBy("path").agg(F.max(F.array_max(F.transform(mono, F.abs))).alias("_peak"))
+    scaled = F.transform(mono, lambda x: (x / F.greatest(F.col("_peak"), F.lit(1.0))).cast("float"))
+    return framed.join(peaks, "path").select("path", "rate", F.lit(1).alias("channels"), "frame", scaled.alias("left"), scaled.alias("right"))

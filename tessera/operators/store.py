@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import search
@@ -151,3 +151,31 @@ def chunk_starts(n: Column, size: int) -> Column:
     """The starts of chunks of ``size`` over ``n`` tokens; the last is moved back so that it is whole."""
     whole = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(size))
     return F.when(n <= size, F.array(F.lit(0))).when(n % size == 0, whole).otherwise(F.concat(whole, F.array((n - size).cast("int"))))
+
+
+def rebuilt(store: DataFrame, backend: str, new: DataFrame, scope: str = "full") -> DataFrame:
+    """The store with one backend's rows of a scope made anew; those of others stay."""
+    return without_scope(store, backend, scope).unionByName(new, allowMissingColumns=True)
+
+
+def chosen_segments(store: DataFrame, backend: str, policy: str) -> DataFrame:
+    """``backend, track_id, policy, key, score``: of each track the segment nearest to the centroid of its segments."""
+    own = store.filter((F.col("backend") == backend) & (F.col("scope") == "segment") & F.col("track_id").isNotNull())
+    best = search.representatives(own.select("track_id", "key", "start_s", "vector").withColumn("order", F.row_number().over(Window.partitionBy("track_id").orderBy("start_s", "key"))), "track_id", id_col="order", vector_col="vector")
+    keys = own.select("track_id", "key", F.row_number().over(Window.partitionBy("track_id").orderBy("start_s", "key")).alias("order"))
+    return best.join(keys, ["track_id", "order"]).select(F.lit(backend).alias("backend"), "track_id", F.lit(policy).alias("policy"), "key", "score")
+
+
+def acceptance(catalog: DataFrame, store: DataFrame, backend: str, readable: Column, least: float = 0.99) -> DataFrame:
+    """One row: catalog tracks, readable ones, those with a full row of the backend, their share and whether it is enough."""
+    held = store.filter((F.col("backend") == backend) & (F.col("scope") == "full")).select(F.col("track_id").alias("_held")).distinct()
+    rows = catalog.select("track_id", readable.alias("_readable")).join(held, F.col("track_id") == F.col("_held"), "left")
+    out = rows.agg(F.count("*").alias("tracks"), F.count_if("_readable").alias("readable"), F.count_if(F.col("_readable") & F.col("_held").isNotNull()).alias("embedded"))
+    share = F.when(F.col("readable") > 0, F.col("embedded") / F.col("readable")).otherwise(0.0)
+    return out.select("*", share.alias("coverage"), (share >= least).alias("accepted"))
+
+
+def to_retry(catalog: DataFrame, store: DataFrame, backend: str, readable: Column) -> DataFrame:
+    """The readable tracks that lack a whole full row of the backend; corrupt rows don't count."""
+    held = store.filter((F.col("backend") == backend) & (F.col("scope") == "full")).filter(intact(store)).select("track_id")
+    return catalog.filter(readable).join(held, "track_id", "left_anti")

@@ -80,6 +80,23 @@ def event_sign_changes(spark, d):
     return hours.groupBy("event_type").agg(F.sum(F.col("crossings") + between).alias("crossings"), F.sum(F.col("steps") + F.col("previous").isNotNull().cast("long")).alias("steps"))
 
 
+def evidence_after_request(spark, d):
+    """For each user the events strictly after the latest purchase, and whether one at its very time makes the order unsure."""
+    e = _events(spark, d)
+    request = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("request"))
+    rows = e.join(request, "user_id").filter(F.col("event_id") != F.col("request.event_id"))
+    after = F.col("ts") > F.col("request.ts")
+    found = rows.groupBy("user_id").agg(F.count_if(after).alias("after"), F.count_if(F.col("ts") == F.col("request.ts")).alias("same_time"), F.min_by("event_id", F.when(after, F.struct("ts", "event_id"))).alias("first_after"))
+    state = F.when(F.col("same_time") > 0, "AMBIGUOUS").when(F.col("after") > 0, "ANSWERED").otherwise("OPEN")
+    return request.join(found, "user_id", "left").select("user_id", F.coalesce("after", F.lit(0)).alias("after"), "first_after", F.when(F.col("after").isNull(), "OPEN").otherwise(state).alias("state"))
+
+
+def latency_percentiles(spark, d):
+    """Median and 95th percentile of the values of each type, interpolated."""
+    p = lambda q: F.percentile("value", F.lit(q))
+    return _events(spark, d).groupBy("event_type").agg(F.count("value").alias("n"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.95), 6).alias("p95"))
+
+
 def top_events_by_value(spark, d):
     """The 64 greatest events of each type, in the order of time."""
     w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
@@ -98,7 +115,7 @@ def latest_turn(spark, d):
     return load(spark, d, "conversations").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("conv_id", "turn", "role")
 
 
-QUERIES = {f.__name__: f for f in (events_tumbling, events_hopping, events_session, events_gap_stats, events_cumulative_rolloff, events_json_props, access_summary, event_sign_changes, top_events_by_value, turn_gaps, latest_turn)}
+QUERIES = {f.__name__: f for f in (events_tumbling, events_hopping, events_session, events_gap_stats, events_cumulative_rolloff, events_json_props, access_summary, event_sign_changes, evidence_after_request, latency_percentiles, top_events_by_value, turn_gaps, latest_turn)}
 _GAP = "(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))"
 SQL = {
     "events_tumbling": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -115,6 +132,10 @@ SQL = {
     "event_sign_changes": """WITH m AS (SELECT *, round(value, 4) >= round(avg(value) OVER (PARTITION BY event_type), 4) AS above FROM events),
         b AS (SELECT *, lag(above) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM m)
         SELECT event_type, count(*) FILTER (above <> before) AS crossings, count(before) AS steps FROM b GROUP BY event_type""",
+    "evidence_after_request": """WITH r AS (SELECT user_id, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS id FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+        f AS (SELECT e.user_id, count(*) FILTER (ts > t) AS after, count(*) FILTER (ts = t) AS same, arg_min(event_id, (ts, event_id)) FILTER (ts > t) AS first_after FROM events e JOIN r USING (user_id) WHERE event_id <> id GROUP BY e.user_id)
+        SELECT user_id, coalesce(after, 0) AS after, first_after, CASE WHEN same > 0 THEN 'AMBIGUOUS' WHEN after > 0 THEN 'ANSWERED' ELSE 'OPEN' END AS state FROM r LEFT JOIN f USING (user_id)""",
+    "latency_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "top_events_by_value": """SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)::INT AS place, event_id FROM (
         SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 64""",
     "turn_gaps": """SELECT conv_id, count(*) AS turns, count(*) FILTER (role = before) AS same_role, max(turn) AS last_turn FROM (

@@ -46,8 +46,8 @@ def version_pairs(spark, d):
     return _version_pairs(spark, d).select("o_custkey", F.col("l.o_orderkey").alias("left_run"), F.col("r.o_orderkey").alias("right_run"), labels.tempo_relation("l.o_totalprice", "r.o_totalprice").alias("relation"))
 
 
-def _severities(spark, d) -> DataFrame:
-    """The ladder over version pairs: the mode stands for the family, its first
+def _graded(pairs: DataFrame) -> DataFrame:
+    """The ladder over pairs of runs: the mode stands for the family, its first
     letter for the classification, and prices for tempo and divergence."""
     a, b = F.col("l.o_totalprice"), F.col("r.o_totalprice")
     js = F.abs(a - b) / (a + b)
@@ -61,7 +61,25 @@ def _severities(spark, d) -> DataFrame:
         key_match=F.when(F.col("l.o_orderkey") % 5 != 0, (F.col("l.o_orderkey") % 7) == (F.col("r.o_orderkey") % 7)),
         overlap=F.least(a, b) / F.greatest(a, b),
     )
-    return _version_pairs(spark, d).select("o_custkey", level.alias("severity"), reason.alias("reason"))
+    return pairs.select("o_custkey", level.alias("severity"), reason.alias("reason"))
+
+
+def _severities(spark, d) -> DataFrame:
+    return _graded(_version_pairs(spark, d))
+
+
+def recheck_session(spark, d):
+    """A session's summary: the tracks that are due are compared with their previous run."""
+    values = ["o_orderkey", "o_orderpriority", "o_totalprice"]
+    two = runs.latest(load(spark, d, "orders"), ["o_custkey"], ORDER, 2)
+    pick = lambda n: F.max(F.when(F.col("rn") == n, F.struct(*values)))
+    pairs = two.groupBy("o_custkey").agg(pick(1).alias("l"), pick(2).alias("r"))
+    due = verdicts.should_recheck("unstable", "O", version=F.lit("O"), confidence=F.when(F.col("l.o_orderpriority") == "1-URGENT", "high").otherwise("medium"), classification=F.when(F.col("l.o_orderkey") % 4 == 0, "hybrid"), worst=F.lit(None).cast("string"))
+    own = pairs.filter(due)
+    graded = _graded(own.filter("r is not null"))
+    level = lambda s: F.count_if(F.col("severity") == s).alias(s.lower())
+    compared = graded.agg(F.count("*").alias("compared"), *[level(s) for s in labels.SEVERITIES], F.round(100.0 * F.count_if(F.col("severity").isin("STABLE", "MINOR")) / F.count("*"), 4).alias("consistent_pct"))
+    return own.agg(F.count("*").alias("due"), F.count_if(F.col("r").isNull()).alias("first_runs")).join(compared)  # one row each
 
 
 def severity_ladder(spark, d):
@@ -173,13 +191,19 @@ _RULES = [
     ("lk % 5 <> 0 AND lk % 7 <> rk % 7", "MINOR", "another key or mode"),
     ("least(a, b) / greatest(a, b) < 0.5::DOUBLE", "MINOR", "the best styles have little in common"),
 ]
-_LADDER = _PAIRS + ", s AS (SELECT *, CASE " + " ".join(f"WHEN {w} THEN '{s}'" for w, s, _ in _RULES) + " ELSE 'STABLE' END AS severity, CASE " + " ".join(f"WHEN {w} THEN '{r}'" for w, _, r in _RULES) + " ELSE 'the evidence agrees' END AS reason FROM p)"
+_GRADED = ", s AS (SELECT *, CASE " + " ".join(f"WHEN {w} THEN '{s}'" for w, s, _ in _RULES) + " ELSE 'STABLE' END AS severity, CASE " + " ".join(f"WHEN {w} THEN '{r}'" for w, _, r in _RULES) + " ELSE 'the evidence agrees' END AS reason FROM p)"
+_LADDER = _PAIRS + _GRADED
+_SESSION = f"""WITH v AS (SELECT *, {LATEST_SQL.format(keys='o_custkey')} AS rn FROM orders), due AS (
+  SELECT * FROM v WHERE rn = 1 AND (o_orderpriority <> '1-URGENT' OR o_orderkey % 4 = 0)
+), p AS (
+  SELECT l.o_custkey, l.o_orderkey AS lk, r.o_orderkey AS rk, l.o_orderpriority AS lp, r.o_orderpriority AS rp, l.o_totalprice AS a, r.o_totalprice AS b
+  FROM due l JOIN v r ON l.o_custkey = r.o_custkey AND r.rn = 2)"""
 _SEVERITY_VALUES = "(VALUES ('STABLE', 0), ('MINOR', 1), ('SIGNIFICANT', 2), ('CRITICAL', 3))"
 _MODES = f"""WITH m AS ({_LATEST_BY.format(k="o_orderpriority")}), p AS (
   SELECT l.o_custkey, l.o_orderpriority AS left_mode, r.o_orderpriority AS right_mode, {relation_sql("l.o_totalprice", "r.o_totalprice")} AS relation
   FROM m l JOIN m r ON l.o_custkey = r.o_custkey AND l.o_orderpriority < r.o_orderpriority WHERE l.rn = 1 AND r.rn = 1)"""
 
-QUERIES = {f.__name__: f for f in (latest_run_per_track, top2_runs_per_track, catalog_with_latest, repeatability_pairs, version_pairs, severity_ladder, severity_histogram, version_summary, mode_pairs, mode_convergence, build_registry, build_coverage, duplicate_runs, scoped_snapshot, upserted_runs, recheck_due, status_counts_rollup, run_gap_days)}
+QUERIES = {f.__name__: f for f in (latest_run_per_track, top2_runs_per_track, catalog_with_latest, repeatability_pairs, version_pairs, severity_ladder, severity_histogram, version_summary, mode_pairs, mode_convergence, build_registry, build_coverage, duplicate_runs, scoped_snapshot, upserted_runs, recheck_due, recheck_session, status_counts_rollup, run_gap_days)}
 SQL = {
     "latest_run_per_track": f"SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM (SELECT *, {LATEST_SQL.format(keys='o_custkey')} AS rn FROM orders) WHERE rn = 1",
     "top2_runs_per_track": f"SELECT o_custkey, o_orderstatus, o_orderkey, rn FROM ({_LATEST_BY.format(k='o_orderstatus')}) WHERE rn <= 2",
@@ -200,6 +224,9 @@ SQL = {
     "scoped_snapshot": f"SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, {LATEST_SQL.format(keys='o_custkey')} AS rn FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') WHERE rn = 1",
     "upserted_runs": f"SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, {LATEST_SQL.format(keys='o_custkey')} AS rn FROM orders WHERE o_orderstatus IN ('F', 'P')) WHERE rn = 1",
     "recheck_due": f"SELECT o_custkey, o_orderstatus <> 'O' AS old, o_orderpriority <> '1-URGENT' OR o_orderkey % 4 = 0 AS unstable FROM (SELECT *, {LATEST_SQL.format(keys='o_custkey')} AS rn FROM orders) WHERE rn = 1",
+    "recheck_session": _SESSION + _GRADED + """ SELECT (SELECT count(*) FROM due) AS due, (SELECT count(*) FROM due) - count(*) AS first_runs, count(*) AS compared,
+        count(*) FILTER (severity = 'STABLE') AS stable, count(*) FILTER (severity = 'MINOR') AS minor, count(*) FILTER (severity = 'SIGNIFICANT') AS significant, count(*) FILTER (severity = 'CRITICAL') AS critical,
+        round(100.0::DOUBLE * count(*) FILTER (severity IN ('STABLE', 'MINOR')) / count(*), 4) AS consistent_pct FROM s""",
     "status_counts_rollup": "SELECT coalesce(o_orderstatus, 'NULL') AS status, coalesce(o_orderpriority, 'NULL') AS mode, count(*) AS runs FROM orders GROUP BY ROLLUP (1, 2)",
     "run_gap_days": """WITH g AS (SELECT o_custkey, date_diff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::DATE, o_orderdate::DATE) AS gap FROM orders)
         SELECT o_custkey, count(gap) AS gaps, quantile_cont(gap, 0.5) AS p50, quantile_cont(gap, 0.95) AS p95 FROM g GROUP BY o_custkey""",

@@ -74,6 +74,32 @@ def query_log(spark, d):
     return store.logged(log, rows).select("id", "query_type", "top_k", "filters")
 
 
+def store_acceptance(spark, d):
+    """Whether enough readable tracks have a full row."""
+    catalog = load(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("track_id")).distinct()
+    out = store.acceptance(catalog, _store(spark, d), "alpha", F.col("track_id") % 6 != 0)
+    return out.withColumn("coverage", F.round("coverage", 6))
+
+
+def store_retry(spark, d):
+    """The readable tracks without a whole full row; rows of every fifth number are corrupt."""
+    catalog = load(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("track_id")).distinct()
+    held = _store(spark, d).withColumn("digest", F.when(F.col("key").cast("long") % 5 == 0, "x").otherwise(F.col("digest")))
+    return store.to_retry(catalog, held, "alpha", F.col("track_id") % 6 != 0)
+
+
+def store_rebuilt(spark, d):
+    """Counts by backend and scope after one backend's full rows were made anew from every third."""
+    held = _store(spark, d)
+    new = held.filter("backend = 'beta' AND scope = 'full'").filter(F.col("key").cast("long") % 3 == 0).withColumn("seq", F.lit(1))
+    return store.rebuilt(held, "beta", new).groupBy("backend", "scope").agg(F.count("*").alias("rows"), F.sum("seq").alias("new"))
+
+
+def chosen_segments(spark, d):
+    """Of each track the segment nearest to the centroid of its segments."""
+    return store.chosen_segments(_store(spark, d).withColumn("track_id", F.col("track_id") % 5), "beta", "v1").select("track_id", "key", F.round("score", 6).alias("score"))
+
+
 def _chosen(spark, d) -> DataFrame:
     """The representatives of every second track: the row with the greatest key."""
     own = _store(spark, d).filter("scope = 'representative' AND track_id % 2 = 0")
@@ -143,7 +169,7 @@ def run_upsert(spark, d):
     return history.written_scores(held, new, "styles")
 
 
-QUERIES = {f.__name__: f for f in (store_put, store_refused, store_delete, store_moved, store_counts, query_log, representative_replace, segment_status, interval_search, chunk_centroids, chunk_plan, segment_index_work, track_identity, tracks_seen, run_upsert)}
+QUERIES = {f.__name__: f for f in (store_put, store_refused, store_delete, store_moved, store_counts, query_log, store_acceptance, store_retry, store_rebuilt, chosen_segments, representative_replace, segment_status, interval_search, chunk_centroids, chunk_plan, segment_index_work, track_identity, tracks_seen, run_upsert)}
 
 _STORE = """st AS (
   SELECT vec_id AS n, vec_id::VARCHAR AS key, ['alpha', 'beta', 'gamma'][label % 3 + 1] AS backend, ['full', 'segment', 'representative', 'text'][vec_id % 4 + 1] AS scope,
@@ -158,6 +184,14 @@ SQL = {
     "store_counts": f"WITH {_STORE} SELECT coalesce(scope, 'total') AS scope, count(*) AS rows FROM st WHERE backend = 'beta' GROUP BY ROLLUP (scope)",
     "query_log": """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'audio' END AS query_type, (event_id % 7)::INT AS top_k, '{"kind":"' || event_type || '","user":"' || user_id || '"}' AS filters
         FROM events WHERE event_id % 7 > 0 AND CASE WHEN event_id % 2 = 0 THEN event_id % 4 <> 0 ELSE event_id % 3 <> 0 END""",
+    "store_acceptance": f"""WITH {_STORE}, c AS (SELECT DISTINCT vec_id // 8 AS t, (vec_id // 8) % 6 <> 0 AS r FROM embeddings), h AS (SELECT DISTINCT track_id FROM st WHERE backend = 'alpha' AND scope = 'full')
+        SELECT count(*) AS tracks, count(*) FILTER (r) AS readable, count(*) FILTER (r AND track_id IS NOT NULL) AS embedded, round(count(*) FILTER (r AND track_id IS NOT NULL)::DOUBLE / count(*) FILTER (r), 6) AS coverage,
+        count(*) FILTER (r AND track_id IS NOT NULL)::DOUBLE / count(*) FILTER (r) >= 0.99 AS accepted FROM c LEFT JOIN h ON t = track_id""",
+    "store_retry": f"WITH {_STORE} SELECT DISTINCT vec_id // 8 AS track_id FROM embeddings WHERE (vec_id // 8) % 6 <> 0 AND vec_id // 8 NOT IN (SELECT track_id FROM st WHERE backend = 'alpha' AND scope = 'full' AND n % 5 <> 0)",
+    "store_rebuilt": f"WITH {_STORE} SELECT backend, scope, count(*) FILTER (NOT (backend = 'beta' AND scope = 'full') OR n % 3 = 0) AS rows, count(*) FILTER (backend = 'beta' AND scope = 'full' AND n % 3 = 0) AS new FROM st GROUP BY ALL HAVING count(*) FILTER (NOT (backend = 'beta' AND scope = 'full') OR n % 3 = 0) > 0",
+    "chosen_segments": f"""WITH {_STORE}, e AS (SELECT track_id % 5 AS track_id, n, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM st WHERE backend = 'beta' AND scope = 'segment'),
+        c AS (SELECT track_id, i, avg(x) AS m FROM e GROUP BY ALL), u AS (SELECT track_id, i, m / sqrt(sum(m * m) OVER (PARTITION BY track_id)) AS m FROM c), s AS (SELECT track_id, n, sum(x * m) AS s FROM e JOIN u USING (track_id, i) GROUP BY ALL)
+        SELECT track_id, arg_max(n, (s, -n))::VARCHAR AS key, round(max(s), 6) AS score FROM s GROUP BY track_id""",
     "representative_replace": f"WITH {_STORE}, {_CHOSEN} SELECT key, backend, scope, track_id, path FROM st LEFT JOIN ch USING (backend, track_id) WHERE scope <> 'representative' OR k IS NULL OR k = key",
     "segment_status": f"""WITH {_STORE}, {_CHOSEN} SELECT (SELECT count(DISTINCT vec_id // 8) FROM embeddings) AS tracks, (SELECT count(DISTINCT track_id) FROM ch WHERE backend = 'beta') AS represented,
         count(*) FILTER (backend = 'beta' AND scope = 'segment') AS segments, count(*) FILTER (backend = 'beta' AND scope = 'representative') AS representatives,

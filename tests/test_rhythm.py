@@ -118,3 +118,25 @@ def test_resampling_keeps_tones(spark):
         assert abs(len(out) - 3 * rate) <= 1
         want = 0.5 * np.sin(2 * np.pi * 440 * np.arange(len(out)) / rate)
         assert np.abs(out - want)[100:-100].max() < 0.01
+
+
+def test_features_of_files(spark):
+    a = clicks(120, 12)
+    t = np.arange(3 * RATE) / RATE
+    rows = [("long", wav(np.stack([a, a], 1))), ("short", wav(np.stack([0.5 * np.sin(2 * np.pi * 440 * t)] * 2, 1)))]
+    framed = signal.frames(spark.createDataFrame(rows, "path string, content binary"), 128)
+    got = by_path(signal.features(framed, 128, RATE))
+    assert abs(got["long"].bpm - 120) < 1 and got["short"].bpm is None and got["short"].key is None
+    assert got["short"].seconds == 3 and abs(got["short"].rms - 0.5 / math.sqrt(2)) < 1e-3 and abs(got["short"].centroid_hz - 440) < 60
+
+
+def test_active_levels_and_peaks(spark, framed):
+    series = rhythm.steps(framed.filter("path IN ('a', 'comb')"))
+    levels = by_path(rhythm.active_level(series))
+    whole = by_path(signal.levels(framed))
+    assert math.isclose(levels["comb"].level, whole["comb"].rms, rel_tol=0.02)
+    quiet = series.withColumn("power", F.col("power") / 4)
+    assert all(math.isclose(r.gain, 2, rel_tol=1e-6) for r in rhythm.level_gain(series, quiet).collect())
+    loud = framed.filter("path = 'comb'").withColumns({c: F.transform(c, lambda x: (x * 8).cast("float")) for c in ("left", "right")})
+    peak = signal.levels(signal.normalised(loud)).first().peak
+    assert math.isclose(peak, 1, rel_tol=1e-6)
