@@ -17,9 +17,9 @@ no link between two components is lost to a shortcut.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle has, all of them are its one
-shingle; rows that repeat an id are one document; a null id is no document and
-gets no component; an empty table gives an empty result; further columns are
-ignored.
+shingle; rows that repeat an id are one document, linked by any of their texts;
+a row without an id is no document, gets no component and is kept; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,7 +222,7 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
         used = written(now if used is None else used.union(now), "used")
 
     named = signed.join(classes, "set_key", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -113,7 +113,7 @@ def test_one_id_with_several_texts(spark):
     texts = {r.n_shingles: set() for r in near}
     for r in near:
         texts[r.n_shingles].add(r.component_id)
-    assert texts[198] == {0} == texts[199] and texts[58] == {1} and texts[59] <= {1, 2}
+    assert texts[198] == {0} == texts[199] == texts[58] and texts[59] == {0, None} and texts[119] == {0}  # through the ids 1, 2 and 3
 
 
 def test_very_long_texts(spark):
