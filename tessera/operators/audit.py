@@ -65,3 +65,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     parts = [F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(F.count("*").alias("rows"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(4)])
     return sums.select("rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("string") for i in range(4)]), 256).alias("digest"))
+
+
+def unlinked(nodes: DataFrame, edges: DataFrame, key: str, source: str = "src", target: str = "dst") -> DataFrame:
+    """The nodes that no edge leaves or reaches."""
+    ends = edges.select(F.explode(F.array(source, target)).alias(key)).distinct()
+    return nodes.join(ends, key, "left_anti")
+
+
+def dangling(choices: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The choices whose row isn't there."""
+    return choices.join(rows.select(key).distinct(), key, "left_anti")

@@ -67,6 +67,19 @@ def graph_cycles(spark, d):
     return graph.cycles(n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3) % 25).alias("dst")))
 
 
+def unlinked_nodes(spark, d):
+    """The customers whom no edge leaves or reaches; every fifth order is an edge."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    edges = o.filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") * 7 % 1000 + 1).alias("dst"))
+    return audit.unlinked(load(spark, d, "customer").select("c_custkey"), edges, "c_custkey")
+
+
+def dangling_choices(spark, d):
+    """The parts that orders' lines name by number and the table of suppliers lacks, with how many lines do."""
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("s_suppkey")).agg(F.count("*").alias("lines"))
+    return audit.dangling(lines, load(spark, d, "supplier"), "s_suppkey")
+
+
 def param_diff_full_outer(spark, d):
     """Two snapshots of the parts' prices: one lacks every 97th, the other every 89th, and every 50th has changed."""
     p = load(spark, d, "part")
@@ -129,7 +142,7 @@ def catalog_report(spark, d):
     return g.select(F.coalesce("p_type", F.lit("ALL")).alias("p_type"), F.coalesce("p_brand", F.lit("ALL")).alias("p_brand"), "parts", "mean_price")
 
 
-QUERIES = {f.__name__: f for f in (coverage_missing, stale_rows, index_status, current_ids, fk_orphans, set_ops, graph_reach, graph_cycles, param_diff_full_outer, param_patch, facet_filter_catalog, text_normalise, text_identity_hash, content_duplicates, page_url_parts, segment_plan, duration_policy, catalog_report)}
+QUERIES = {f.__name__: f for f in (coverage_missing, stale_rows, index_status, current_ids, fk_orphans, set_ops, graph_reach, graph_cycles, unlinked_nodes, dangling_choices, param_diff_full_outer, param_patch, facet_filter_catalog, text_normalise, text_identity_hash, content_duplicates, page_url_parts, segment_plan, duration_policy, catalog_report)}
 _ORPHANS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id")]
 SQL = {
     "coverage_missing": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -157,6 +170,8 @@ SQL = {
     "text_identity_hash": "SELECT doc_id, sha256(trim(text, ' ')) AS identity, lower(lang) AS lang FROM documents",
     "content_duplicates": "SELECT sha256(text) AS digest, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) - 1 AS extra FROM documents GROUP BY text HAVING count(*) > 1",
     "page_url_parts": "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^(.*)/', 1) AS folder FROM pages",
+    "unlinked_nodes": """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) AND c_custkey NOT IN (SELECT o_custkey * 7 % 1000 + 1 FROM orders WHERE o_orderkey % 5 = 0)""",
+    "dangling_choices": "SELECT l_partkey AS s_suppkey, count(*) AS lines FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1",
     "segment_plan": """WITH t AS (SELECT doc_id, n_chars / 10.0::DOUBLE AS s FROM documents), c AS (SELECT *, CASE WHEN s >= 1 THEN least(ceil(s / 20), floor((s - 1) / 20) + 1) ELSE 0 END::INT AS n FROM t),
         p AS (SELECT doc_id, s, unnest(CASE WHEN n <= 16 THEN range(n) ELSE list_transform(range(16), lambda i: round_even(i * (n - 1)::DOUBLE / 15, 0)::BIGINT) END) AS i,
               unnest(range(least(n, 16))) AS segment FROM c)

@@ -184,3 +184,36 @@ def violations(value: Column, schema: dict, path: str = "$") -> Column:
         quoted = F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), f"$.{key}", "variant")) == "STRING", F.concat(F.lit('"'), F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(raw)
         own = F.concat(own, F.when(raw.isNotNull(), violations(quoted, child, f"{path}.{key}")).otherwise(F.array().cast("array<string>")))
     return own
+
+
+def named_results(spark: SparkSession, folder: str, pattern: str = "*.genre*.json") -> DataFrame:
+    """Result files by name below a folder, each path once whatever its case."""
+    files = spark.read.schema(RESULT).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(folder)
+    return files.withColumn("file", F.col("_metadata.file_path")).withColumn("_key", F.lower("file")).dropDuplicates(["_key"]).drop("_key")
+
+
+def tracks_of(contents: DataFrame) -> DataFrame:
+    """``track_id, path, others`` from ``path, track_id``: the first path of each content, and the rest in order."""
+    paths = contents.groupBy("track_id").agg(F.array_sort(F.collect_set("path")).alias("_paths"))
+    return paths.select("track_id", F.get("_paths", 0).alias("path"), F.slice("_paths", 2, F.greatest(F.size("_paths") - 1, F.lit(0))).alias("others"))
+
+
+def unique_parameters(rows: DataFrame) -> DataFrame:
+    """Parameters of a preset, refused if one is given twice."""
+    several = rows.groupBy("element", "param").count().filter("count > 1").orderBy("element", "param").limit(5).collect()
+    if several:
+        raise ValueError(f"given more than once: {[(r.element, r.param) for r in several]}")
+    return rows
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Rows of an older or newer schema with all columns of ``defaults``; what is missing or null has its default."""
+    have = set(rows.columns)
+    return rows.withColumns({name: F.coalesce(F.col(name), value) if name in have else value for name, value in defaults.items()})
+
+
+def selected(rows: DataFrame, order: Sequence[str], ids: DataFrame | None = None, id_col: str = "track_id", most: int | None = None) -> DataFrame:
+    """The rows of some ids, at most the first ``most`` in order."""
+    if ids is not None:
+        rows = rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    return rows if most is None else rows.orderBy(*order).limit(most)

@@ -153,3 +153,20 @@ def test_reports(spark, tmp_path):
     with pytest.raises(ValueError):
         reports.markdown(both, most=1)
     assert spark.range(1).select(reports.log_line("load", ms=F.lit(5))).first()[0] == '{"event":"load","ms":5}'
+
+
+def test_named_files_and_defaults(spark, tmp_path):
+    for name in ("a.genre.json", "d/b.genre2.json", "c.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text('{"path": "p", "audio_features": {"bpm": 1.0}}')
+    found = files.named_results(spark, str(tmp_path))
+    assert sorted(r.file.rsplit("/", 1)[1] for r in found.collect()) == ["a.genre.json", "b.genre2.json"]
+    full = files.with_defaults(found.select("path", "confidence"), {"confidence": F.lit("low"), "schema": F.lit(1)}).first()
+    assert (full.path, full.confidence, full.schema) == ("p", "low", 1)
+    ids = spark.createDataFrame([("/b", "t"), ("/a", "t"), ("/c", "u")], "path string, track_id string")
+    assert {r.track_id: (r.path, r.others) for r in files.tracks_of(ids).collect()} == {"t": ("/a", ["/b"]), "u": ("/c", [])}
+    assert [r.path for r in files.selected(ids, ["path"], ids.filter("track_id = 't'"), most=1).collect()] == ["/a"]
+    twice = spark.createDataFrame([("E", "p", "1"), ("E", "p", "2")], "element string, param string, value string")
+    with pytest.raises(ValueError, match="'E', 'p'"):
+        files.unique_parameters(twice)
+    assert files.unique_parameters(twice.limit(1)).count() == 1
