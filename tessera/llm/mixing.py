@@ -86,10 +86,10 @@ def mix(
     targets = source_targets(sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.least(F.floor(share), F.lit(most)).cast("long"))
-    targets = written(targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "targets")
+    targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     sampled = targets.filter("rest > 0 AND rest < source_size").select("key", "rest")
     scales = inclusion_scales(sized.filter("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")).join(sampled, "key"))
-    targets = written(targets.join(scales, "key", "left"), "scaled")
+    targets = written(targets.join(scales, "key", "left"), "targets")
 
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
     p = F.least(F.col("scale") * F.sqrt("size"), F.lit(1.0))
@@ -108,7 +108,6 @@ def mix(
 
     narrow = ranked(sized)
     first = crossing(narrow.filter("rank is not null").groupBy("key", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest")), "bin", F.lit(0))
-    first = written(first, "bins")
     inside = narrow.filter("rank is not null").join(first, "key").filter("bin = cut_bin")
     second = crossing(inside.groupBy("key", "sub").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"), F.first("before_bin").alias("start")), "sub", F.col("start"))
     cuts = written(first.join(second, "key", "left"), "cuts")
