@@ -10,10 +10,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """A table of few bytes dealt evenly to all cores, for steps that are heavy on
-    each row: its one file may be a single row group, which one task would read
-    alone. Larger tables have files and row groups enough and stay as they lie."""
+    """A table of few bytes in fewer partitions than there are cores, dealt evenly to
+    all of them, for steps that are heavy on each row: its one file may be a single row
+    group, which one task would read alone. Other tables have files and row groups
+    enough and stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= most:
+    if int(size) >= most or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)

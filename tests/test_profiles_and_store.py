@@ -109,9 +109,9 @@ def test_paths_of_any_length(spark):
 
 
 def test_only_small_tables_are_spread(spark):
-    df = spark.range(1000)
-    assert spread(df, most=1 << 40).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(df, most=1) is df
+    one, cores = spark.range(1000).coalesce(1), spark.sparkContext.defaultParallelism
+    assert spread(one, most=1 << 40).rdd.getNumPartitions() == cores and spread(one, most=1) is one
+    assert spread(dealt := one.repartition(cores), most=1 << 40) is dealt
 
 
 def test_chains_headers_and_patches(spark):
