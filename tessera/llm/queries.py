@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup
+from tessera.llm import divergence_audit, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op13_source_divergence": divergence_audit.op13_source_divergence,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -26,4 +27,5 @@ SQL = {
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op13_source_divergence": divergence_audit.OP13_SQL,
 }
