@@ -8,9 +8,9 @@ doubles the length and looks only at terms whose last prefix reached the thresho
 since a term can't have more documents than its prefix. Levels end when every prefix
 that is left is a complete term.
 
-Each document's distinct terms and their occurrences are written once. A task sums what its documents
-have in common before it shuffles, so a level moves a row for each prefix and task, whatever
-the number of documents. Surviving prefixes go to the tasks of the next level as a filter of ``FILTER_BITS``
+Each document's distinct terms and their occurrences are written once, in blocks of documents that number
+their terms, so a level works on arrays of numbers. What the documents of a block and a task have in common
+is summed before it is shuffled: a level moves a row for each prefix and task, whatever the number of documents. Surviving prefixes go to the tasks of the next level as a filter of ``FILTER_BITS``
 bits, a size that doesn't grow with the data. The filter may let a
 rare prefix pass, which costs one more count and changes no result: terms are kept by their exact counts only.
 
@@ -28,7 +28,7 @@ any length is one term; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,33 +39,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import table, written
+from tessera.llm.packing import slices
 
 #: Letters A-Z, a-z and every byte of a character beyond ASCII.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 FIRST_BYTES = 4
 FILTER_BITS = 1 << 24  # 2 MB
-HELD_KEYS = 300_000  # that a task sums before it hands them on
+BLOCK_BYTES = 8 << 20  # of texts whose terms are counted together
 TILE = 256
-BLOCK = 1024  # terms compared at once
+ROWS = 1024  # terms compared at once
 BUCKETS = 32  # parts of a language's terms
 
 
-def document_terms(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms, counts`` of each document."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """A row for each block of documents: its distinct ``terms``, the ``langs`` and ``sources`` of its groups, and of each document its
+    ``group``, where its terms begin (``upto``), their places among the block's (``ids``) and their ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, counts, upto = [], [], [0]
-            for text in batch.column("text"):
-                own = Counter(TERM.findall(text.as_py().lower()))
-                terms.extend(own.keys())
-                counts.extend(own.values())
-                upto.append(len(terms))
-            offsets = pa.array(upto, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("source"), *lists], ["lang", "source", "terms", "counts"])
-
-    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, terms array<binary>, counts array<long>")
+            for part in slices(batch, BLOCK_BYTES):
+                terms, groups, ids, counts, upto = {}, {}, [], [], [0]
+                for text in part.column("text"):
+                    own = Counter(TERM.findall(text.as_py().lower()))
+                    ids.extend([terms.setdefault(t, len(terms)) for t in own])
+                    counts.extend(own.values())
+                    upto.append(len(ids))
+                group = [groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())]
+                columns = [pa.array([list(x)], pa.list_(t)) for x, t in zip((terms, *zip(*groups), group, upto, ids, counts), (pa.binary(), pa.string(), pa.string(), *(pa.int32(),) * 3, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["terms", "langs", "sources", "group", "upto", "ids", "counts"])
+
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "terms array<binary>, langs array<string>, sources array<string>, `group` array<int>, upto array<int>, ids array<int>, counts array<long>"
+    )
 
 
 def slot(lang: str, prefix: bytes) -> int:
@@ -73,53 +78,61 @@ def slot(lang: str, prefix: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + prefix) % FILTER_BITS
 
 
-def level(terms: DataFrame, low: int, high: int, passed) -> DataFrame:
-    """``lang, source, prefix, complete, docs, n``, summed by task: terms longer than ``low`` bytes whose
+def cut(terms: list[bytes], wanted: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
+    """The distinct prefixes of the wanted terms, and of each term the place of its own."""
+    found: dict[bytes, int] = {}
+    place = np.zeros(len(terms), np.int64)
+    for i in np.flatnonzero(wanted).tolist():
+        place[i] = found.setdefault(terms[i][:size], len(found))
+    return list(found), place
+
+
+def level(blocked: DataFrame, low: int, high: int, passed) -> DataFrame:
+    """``lang, source, prefix, complete, docs, n``, summed by block: terms longer than ``low`` bytes whose
     prefix of that length passed the filter, complete or cut to ``high`` bytes. A cut prefix has no source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if passed is None else passed.value
-        whole, cut, known, held = defaultdict(lambda: [0, 0]), Counter(), {}, 0
-
-        def passes(lang: str, prefix: bytes) -> bool:
-            key = (lang, prefix)
-            if key not in known:
-                if len(known) >= HELD_KEYS:
-                    known.clear()
-                at = slot(lang, prefix)
-                known[key] = bool(bits[at >> 3] >> (at & 7) & 1)
-            return known[key]
-
-        def rows() -> pa.RecordBatch:
-            keys = [*whole, *((lang, None, prefix) for lang, prefix in cut)]
-            sums = [*whole.values(), *([n, 0] for n in cut.values())]
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.binary()), pa.array([k[1] is not None for k in keys], pa.bool_())]
-            columns += [pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1)]
-            whole.clear()
-            cut.clear()
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "prefix", "complete", "docs", "n"])
-
         for batch in batches:
-            upto = batch.column("terms").offsets.to_pylist()
-            flat, counts = batch.column("terms").values.to_pylist(), batch.column("counts").values.to_pylist()
-            for i, (lang, source) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
-                longer = set()
-                for k in range(upto[i], upto[i + 1]):
-                    term = flat[k]
-                    if len(term) <= low or (bits is not None and not passes(lang, term[:low])):
-                        continue
-                    if len(term) <= high:
-                        own = whole[lang, source, term]
-                        own[0] += 1
-                        own[1] += counts[k]
-                    else:
-                        longer.add((lang, term[:high]))
-                cut.update(longer)
-                if len(whole) + len(cut) >= HELD_KEYS:
-                    yield rows()
-        yield rows()
-
-    return terms.mapInArrow(run, "lang string, source string, prefix binary, complete boolean, docs long, n long")
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r].values for c in batch.schema.names}
+                terms, langs, sources = (row[c].to_pylist() for c in ("terms", "langs", "sources"))
+                group, upto, ids, counts = (row[c].to_numpy() for c in ("group", "upto", "ids", "counts"))
+                size = np.fromiter(map(len, terms), np.int64, len(terms))
+                names = list(dict.fromkeys(langs))
+                lang_of = np.array([names.index(x) for x in langs])
+                doc = np.repeat(np.arange(len(group)), np.diff(upto))
+                kept = size[ids] > low
+                doc, ids, counts = doc[kept], ids[kept], counts[kept]
+                if bits is not None:
+                    short, place = cut(terms, size > low, low)
+                    pairs, which = np.unique(lang_of[group[doc]] * len(short) + place[ids], return_inverse=True)
+                    at = np.fromiter((slot(names[x // len(short)], short[x % len(short)]) for x in pairs.tolist()), np.int64, len(pairs))
+                    kept = (bits[at >> 3] >> (at & 7) & 1).astype(bool)[which]
+                    doc, ids, counts = doc[kept], ids[kept], counts[kept]
+                whole = size[ids] <= high
+                own, which = np.unique(group[doc[whole]].astype(np.int64) * len(terms) + ids[whole], return_inverse=True)
+                docs, n = np.bincount(which, minlength=len(own)), np.zeros(len(own), np.int64)
+                np.add.at(n, which, counts[whole])
+                g, t = np.divmod(own, max(1, len(terms)))
+                longer = np.zeros(len(terms), bool)
+                longer[ids[~whole]] = True
+                prefixes, place = cut(terms, longer, high)
+                p = max(1, len(prefixes))
+                d, x = np.divmod(np.unique(doc[~whole] * p + place[ids[~whole]]), p)
+                own, of_cut = np.unique(lang_of[group[d]] * p + x, return_counts=True)
+                rows = [
+                    [langs[i] for i in g.tolist()] + [names[i] for i in (own // p).tolist()],
+                    [sources[i] for i in g.tolist()] + [None] * len(own),
+                    [terms[i] for i in t.tolist()] + [prefixes[i] for i in (own % p).tolist()],
+                    [True] * len(g) + [False] * len(own),
+                    np.concatenate([docs, of_cut]).astype(np.int64),
+                    np.concatenate([n, np.zeros(len(own), np.int64)]),
+                ]
+                types = (pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], ["lang", "source", "prefix", "complete", "docs", "n"])
+
+    return blocked.mapInArrow(run, "lang string, source string, prefix binary, complete boolean, docs long, n long")
 
 
 def filter_of(prefixes: DataFrame) -> np.ndarray:
@@ -139,11 +152,11 @@ def filter_of(prefixes: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def kept_terms(terms: DataFrame, least: int) -> DataFrame:
+def kept_terms(blocked: DataFrame, least: int) -> DataFrame:
     """``lang, source, term, n``: the occurrences of every kept term in every source that has it."""
-    spark, found, low, high, passed = terms.sparkSession, [], 0, FIRST_BYTES, None
+    spark, found, low, high, passed = blocked.sparkSession, [], 0, FIRST_BYTES, None
     while True:
-        counted = level(terms, low, high, passed).groupBy("lang", "source", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        counted = level(blocked, low, high, passed).groupBy("lang", "source", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         counted = written(counted, f"level{high}")
         whole = counted.filter("complete")
         common = whole.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "prefix")
@@ -205,7 +218,7 @@ def pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
             start = 0
             while start < len(keys):
                 end = start
-                while end < len(keys) and end - start < BLOCK and keys[end] == keys[start]:
+                while end < len(keys) and end - start < ROWS and keys[end] == keys[start]:
                     end += 1
                 _, i, j = keys[start]
                 left, right = side(batch, "i", i, start, end), side(batch, "j", j, start, end)
@@ -226,12 +239,13 @@ def divergence(docs: DataFrame, *, least: int = 30, ranks: int = 50, text_col: s
     """``lang, source, part, item, value, rank``: of each source of a language how far every other source's
     shares of kept terms are from its own (``pair``), and the terms it has above the language's share (``term``, the first ``ranks``)."""
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    terms = written(document_terms(named), "terms", "zstd")
-    kept = written(kept_terms(terms, least), "kept")
+    blocked = written(blocks(named), "terms", "zstd")
+    kept = written(kept_terms(blocked, least), "kept")
 
     everywhere = kept.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     langs = everywhere.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    groups = terms.select("lang", "source").distinct().join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
+    pairs = blocked.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
+    groups = pairs.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.withColumns({"total": F.coalesce("total", F.lit(0)), "v": F.coalesce("v", F.lit(0)), "no": F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1})
     groups = written(groups.withColumn("p0", F.when(F.col("v") > 0, share("0", "total", "v"))), "groups")
 
