@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import divergence_audit, exact_dedup, language_id, license_scan, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup
+from tessera.llm import divergence_audit, exact_dedup, html_extraction, language_id, license_scan, line_dedup, merkle_manifest, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
     "op13_source_divergence": divergence_audit.op13_source_divergence,
 }
 SQL = {
@@ -27,5 +29,7 @@ SQL = {
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_merkle_manifest": merkle_manifest.OP11_SQL,
+    "op12_html_extraction": html_extraction.OP12_SQL,
     "op13_source_divergence": divergence_audit.OP13_SQL,
 }

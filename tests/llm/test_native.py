@@ -42,7 +42,7 @@ def same(got, sql, **tables):
 def test_equals_sql_on_the_documents(spark, data, name):
     sql = queries.SQL[name]
     got = queries.QUERIES[name](spark, data).toPandas()
-    same(got, sql, documents=duckdb.connect().sql(f"select * from '{data}/documents.parquet'").arrow().read_all())
+    same(got, sql, **{t: duckdb.connect().sql(f"select * from '{data}/{t}.parquet'").arrow().read_all() for t in ("documents", "pages")})
 
 
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op7_mixing", "op8_quality_rules", "op9_exact_dedup"])
