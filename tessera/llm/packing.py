@@ -23,6 +23,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -44,6 +45,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 BREAK = "([^\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]) "
 MARK = "\x00"
 BLOCK = 20_000  # words tokenised in one string
+PARTITIONS = 10_000  # of the tails at most, whose bounds the driver draws
 
 
 @cache
@@ -53,7 +55,14 @@ def encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+@cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The whole tokens that the vocabulary finds in texts before all else, from its JSON form."""
+    with open(path.removesuffix(".tiktoken") + ".json") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 def vocabulary_path() -> str:
@@ -74,8 +83,12 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the words one after another, and how many each has. Words that
     begin with a blank are tokenised in long strings, as no token crosses the
     place before the blank; bytes tell whose the ids are."""
-    encode, sizes = encoding(path).encode_ordinary, token_sizes(path)
+    sizes, added = token_sizes(path), added_tokens(path)
     parts, counts = [], []
+
+    def encode(text: str) -> list[int]:
+        return encoding(path).encode(text, allowed_special="all") if any(t in text for t in added) else encoding(path).encode_ordinary(text)
+
     i = 0
     while i < len(words):
         j = i + 1
@@ -316,8 +329,9 @@ def packed(docs: DataFrame, *, window: int = WINDOW, shard_tails: int = 2000, vo
                 sequence += 1
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    keyed = tails.mapInArrow(rarest, "doc_id long, start long, doc_tokens long, ids binary, k0 long, k1 long")
-    dealt = keyed.repartitionByRange(max(1, -(-count // shard_tails)), "k0", "k1", "doc_id", "start").sortWithinPartitions("k0", "k1", "doc_id", "start")
+    # Written, as the bounds of the ranges are drawn from it first. A partition holds one shard after another.
+    keyed = written(tails.mapInArrow(rarest, "doc_id long, start long, doc_tokens long, ids binary, k0 long, k1 long"), "keyed")
+    dealt = keyed.repartitionByRange(max(1, min(-(-count // shard_tails), PARTITIONS)), "k0", "k1", "doc_id", "start").sortWithinPartitions("k0", "k1", "doc_id", "start")
     rest = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(pack, PIECES)
     return pieces.filter("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset")).union(rest)
 

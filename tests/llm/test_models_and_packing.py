@@ -58,6 +58,8 @@ def test_packing_of_odd_texts(spark, tokenizer):
 def test_token_ids_equal_the_json_vocabulary(tokenizer):
     r = random.Random(3)
     texts = ["".join(r.choices("ab .,'!\n\t\r\x0b  é漢😀1-_  \x1c\x85", k=r.randint(0, 60))) for _ in range(3000)]
+    added = "<|endoftext|>"  # one token wherever it stands
+    texts += ["".join(r.choices(["a", " ", "b ", "\n", ".", added, added[:-1], "é"], k=r.randint(0, 20))) for _ in range(1000)] + [f"a {added} b", added, f"x{added}{added}  y  {added}\n z {added[:-1]}"]
     flat, upto = packing.encode_batch(pa.array(texts), packing.vocabulary_path())
     for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert flat[upto[i] : upto[i + 1]].tolist() == e.ids
