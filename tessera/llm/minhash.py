@@ -17,9 +17,9 @@ no link between two components is lost to a shortcut.
 
 Defined cases: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle has, all of them are its one
-shingle; rows that repeat an id are one document, linked by any of their texts;
-a row without an id is no document, gets no component and is kept; an empty table
-gives an empty result; further columns are ignored.
+shingle; rows that repeat an id are one document, linked by any of their texts, so they have one
+component, while each row has the size of its own text's set; a row without an id is no document, gets
+no component and is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ PERMUTATIONS = 40
 BANDS = PERMUTATIONS // 2
 BLOCK = 4096  # shingles hashed at once
 CACHED_WORDS = 300_000
+HUB_PART = 512  # members that are compared with one copy of their hub's text
 
 
 class WordHashes(dict):
@@ -97,6 +98,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def key_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def set_keys(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, set_key, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            keys = [key_of(shingle_hashes(words_of(t.as_py()), hashes, width)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), batch.column("text")], ["doc_id", "set_key", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, text string")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands``."""
 
@@ -107,7 +124,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column("text"):
                 s = shingle_hashes(words_of(text.as_py()), hashes, width)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(key_of(s))
                 if len(s):
                     bands.append(band_keys(min_max(s, a)))
                 offsets.append(len(bands) * BANDS)
@@ -119,33 +136,36 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (``a, b``) whose full shingle sets are similar enough."""
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    hubs = texts.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sides = sides.join(hubs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (``a, b``) whose full shingle sets are similar enough. The members of a hub ``b`` are dealt to parts of some ``HUB_PART``;
+    each part gets the hub's text once, before its members'."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_PART))
+    dealt = pairs.join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b").select("a", "b", F.pmod(F.hash("a"), parts).alias("part"))
+    members = dealt.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "part", F.lit(1).alias("place"), "a", "text")
+    hubs = dealt.select("b", "part").distinct().join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("b", "part", F.lit(0).alias("place"), F.col("b").alias("a"), "text")
+    rows = members.union(hubs).repartition("b", "part").sortWithinPartitions("b", "part", "place")
 
     def full_set(text: str) -> set:
         w = words_of(text)
         return set(zip(*(w[i:] for i in range(width)))) if len(w) >= width else {tuple(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, set()
+        hub: set = set()
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(k) for k in ("a", "b", "text_a", "text_b"))
             keep = []
-            for i in range(batch.num_rows):
-                if b[i].as_py() != last:  # pairs with one hub come in a row
-                    last, hub = b[i].as_py(), full_set(text_b[i].as_py())
-                own = full_set(text_a[i].as_py())
+            for i, (place, text) in enumerate(zip(batch.column("place").to_pylist(), batch.column("text"))):
+                own = full_set(text.as_py())
+                if not place:
+                    hub = own
+                    continue
                 least, most = sorted((len(own), len(hub)))
                 if 100 * least < percent * most:
                     continue
                 both = len(own & hub)
                 if 100 * both >= percent * (len(own) + len(hub) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int32())), b.take(pa.array(keep, pa.int32()))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int32())) for k in ("a", "b")], ["a", "b"])
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -183,17 +203,36 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
     with a Jaccard similarity of ``percent`` hundredths or more."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(rows, width), "signed")
-    classes = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    filled = signed.filter("n_shingles > 0 and doc_id is not null")
+    own_key = F.xxhash64("set_key")
+    repeated = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min(own_key) != F.max(own_key)).alias("several"))
+    repeated = written(repeated.filter("rows > 1").select("doc_id", "several"), "repeated")
+    again = not repeated.isEmpty()
+    if again:
+        # An id with several sets can't name a class. A class that only such ids have is named by its set.
+        named = filled.join(repeated, "doc_id", "left").withColumn("name", F.expr("if(coalesce(several, false), null, doc_id)"))
+        classes = named.groupBy("set_key").agg(F.min("name").alias("name")).select("set_key", F.coalesce("name", own_key).alias("rep"), F.col("name").isNull().alias("by_set"))
+    else:
+        classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("by_set", F.lit(False))
+    classes = written(classes, "classes")
 
     # Buckets of class representatives: those with two members or more.
-    reps = signed.join(classes, (signed["set_key"] == classes["set_key"]) & (signed["doc_id"] == classes["rep"])).select("rep", "bands")
+    reps = signed.join(classes, "set_key").filter("by_set or doc_id = rep").select("rep", "bands")
     entries = reps.select("rep", F.explode("bands").alias("band")).distinct()
     buckets = written(entries.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("band", "hub"), "buckets")
     members = written(entries.join(buckets, "band"), "members")
-    texts = written(rows.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = rows
+    if again:
+        # One text for each class: of ids that repeat, by the set.
+        first = set_keys(rows.join(repeated, "doc_id", "left_semi"), width).join(classes, "set_key").filter("by_set or doc_id = rep").groupBy("rep").agg(F.min("text").alias("text"))
+        texts = rows.join(repeated, "doc_id", "left_anti").union(first.select(F.col("rep").alias("doc_id"), "text"))
+    texts = written(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     tried = written(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    found = written(linked(tried, texts, width, percent), "found")
+    found = linked(tried, texts, width, percent)
+    if again:  # the texts of an id are linked through it
+        found = found.union(filled.join(repeated.filter("several"), "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    found = written(found, "found")
     labels = components(found)
     # Only members of buckets that still hold several components go on.
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
@@ -223,7 +262,15 @@ def near_dedup(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: st
 
     named = signed.join(classes, "set_key", "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = named.select("doc_id", "n_shingles", component.alias("component_id"))
+    if again:  # names that are no ids give way to the least id
+        named = written(named, "named")
+        least = named.filter("n_shingles > 0 and doc_id is not null").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        named = named.join(least, "component_id", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("component_id")))
+        # The rows of an id without words share the component of those with words.
+        several = named.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        named = named.join(several.join(repeated, "doc_id", "left_semi"), "doc_id", "left").withColumn("component_id", F.coalesce("own", "component_id"))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -232,22 +279,23 @@ def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
-  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)
+  SELECT DISTINCT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)
 ), n AS (
-  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+  SELECT r, count(*) AS n FROM s GROUP BY r
 ), links AS MATERIALIZED (
-  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
-  JOIN n l ON l.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * c >= 85 * (l.n + r.n - c)
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.r < y.r GROUP BY 1, 2)
+  JOIN n l ON l.r = a JOIN n r ON r.r = b WHERE 100 * c >= 85 * (l.n + r.n - c)
 ), edges AS MATERIALIZED (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+  UNION ALL SELECT x.r, y.r FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.r <> y.r
 ), reach AS (
   SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
 ), c AS (
-  SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a
+  SELECT a AS r, min(doc_id) AS least FROM reach JOIN d ON d.r = b GROUP BY a
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
 """

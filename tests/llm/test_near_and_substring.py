@@ -116,6 +116,23 @@ def test_one_id_with_several_texts(spark):
     assert texts[198] == {0} == texts[199] == texts[58] and texts[59] == {0, None} and texts[119] == {0}  # through the ids 1, 2 and 3
 
 
+def test_repeated_ids_whatever_the_order(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    x, z, y = words("x", 70), words("z", 120), words("y", 90)
+    rows = [(3, x), (3, z), (4, z + " tail"), (3, z), (2, x), (9, None), (9, y), (7, y + " q"), (8, y + " r s"), (8, words("v", 40)), (11, ""), (11, ""), (2**62, words("v", 40) + " w"), (None, x)]
+    want = None
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        got = minhash.near_dedup(spark.createDataFrame(order, "doc_id long, text string"), width=3, percent=85).collect()
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in got)
+        assert want is None or got == want
+        want = got
+    own = {}
+    for (null, i), _, component, kept in want:
+        own.setdefault(None if null else i, set()).add(component)
+        assert kept == (component == i if not null else component is None)
+    assert own == {2: {2}, 3: {2}, 4: {2}, 7: {7}, 8: {7}, 9: {7}, 11: {11}, 2**62: {7}, None: {None}}
+
+
 def test_very_long_texts(spark):
     text = " ".join(f"w{i * 7 % 30_011}" for i in range(300_000))
     rows = [(1, text), (2, text + " more"), (3, "x " * 200_000), (4, text[:50_000])]
