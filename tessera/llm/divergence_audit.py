@@ -13,6 +13,7 @@ their terms, so a level works on arrays of numbers. What the documents of a bloc
 is summed before it is shuffled: a level moves a row for each prefix and task, whatever the number of documents. Surviving prefixes go to the tasks of the next level as a filter of ``FILTER_BITS``
 bits, a size that doesn't grow with the data. The filter may let a
 rare prefix pass, which costs one more count and changes no result: terms are kept by their exact counts only.
+A last pass counts the occurrences of the kept terms, and of few others that the filter lets pass, by source.
 
 Divergences of all pairs of sources are sums over kept terms, made in blocks of
 ``TILE`` sources by as many: a task holds one block of sums at a time. The result itself has a row
@@ -45,7 +46,7 @@ from tessera.llm.packing import slices
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 FIRST_BYTES = 4
 FILTER_BITS = 1 << 24  # 2 MB
-BLOCK_BYTES = 8 << 20  # of texts whose terms are counted together
+BLOCK_BYTES = 16 << 20  # of texts whose terms are counted together
 TILE = 256
 ROWS = 1024  # terms compared at once
 BUCKETS = 32  # parts of a language's terms
@@ -78,61 +79,75 @@ def slot(lang: str, prefix: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + prefix) % FILTER_BITS
 
 
-def cut(terms: list[bytes], wanted: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
-    """The distinct prefixes of the wanted terms, and of each term the place of its own."""
-    found: dict[bytes, int] = {}
-    place = np.zeros(len(terms), np.int64)
-    for i in np.flatnonzero(wanted).tolist():
-        place[i] = found.setdefault(terms[i][:size], len(found))
-    return list(found), place
-
-
-def level(blocked: DataFrame, low: int, high: int, passed) -> DataFrame:
-    """``lang, source, prefix, complete, docs, n``, summed by block: terms longer than ``low`` bytes whose
-    prefix of that length passed the filter, complete or cut to ``high`` bytes. A cut prefix has no source."""
+class Block:
+    """The terms of one block that are longer than ``low`` bytes and whose prefix of ``low`` bytes, or
+    the whole term where ``low`` is 0, passes the filter ``bits`` for the document's language."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int, low: int, bits: np.ndarray | None):
+        row = {c: batch.column(c)[r].values for c in batch.schema.names}
+        self.terms, self.langs, self.sources = (row[c].to_pylist() for c in ("terms", "langs", "sources"))
+        self.group, upto, ids, counts = (row[c].to_numpy() for c in ("group", "upto", "ids", "counts"))
+        self.size = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
+        self.names = list(dict.fromkeys(self.langs))
+        self.lang = np.array([self.names.index(x) for x in self.langs])[self.group]  # of each document
+        doc = np.repeat(np.arange(len(self.group)), np.diff(upto))
+        kept = self.size[ids] > low
+        self.doc, self.ids, self.counts = doc[kept], ids[kept], counts[kept]
+        if bits is not None:
+            short, place = self.cut(self.size > low, low or None)
+            pairs, which = np.unique(self.lang[self.doc] * len(short) + place[self.ids], return_inverse=True)
+            at = np.fromiter((slot(self.names[x // len(short)], short[x % len(short)]) for x in pairs.tolist()), np.int64, len(pairs))
+            kept = (bits[at >> 3] >> (at & 7) & 1).astype(bool)[which]
+            self.doc, self.ids, self.counts = self.doc[kept], self.ids[kept], self.counts[kept]
+
+    def cut(self, wanted: np.ndarray, size: int | None) -> tuple[list[bytes], np.ndarray]:
+        """The distinct prefixes of the wanted terms, and of each term the place of its own."""
+        found: dict[bytes, int] = {}
+        place = np.zeros(len(self.terms), np.int64)
+        for i in np.flatnonzero(wanted).tolist():
+            place[i] = found.setdefault(self.terms[i][:size], len(found))
+        return list(found), place
+
+    def documents(self, high: int) -> Iterator[tuple[str, bytes, bool, int]]:
+        """Of each language the prefixes of ``high`` bytes, and the terms that are no longer (true), with their number of documents."""
+        whole = self.size[self.ids] <= high
+        own, n = np.unique(self.lang[self.doc[whole]] * len(self.terms) + self.ids[whole], return_counts=True)
+        for key, docs in zip(own.tolist(), n.tolist()):
+            lang, term = divmod(key, len(self.terms))
+            yield self.names[lang], self.terms[term], True, docs
+        longer = np.zeros(len(self.terms), bool)
+        longer[self.ids[~whole]] = True
+        prefixes, place = self.cut(longer, high)
+        p = max(1, len(prefixes))
+        doc, prefix = np.divmod(np.unique(self.doc[~whole] * p + place[self.ids[~whole]]), p)
+        own, n = np.unique(self.lang[doc] * p + prefix, return_counts=True)
+        for key, docs in zip(own.tolist(), n.tolist()):
+            lang, prefix = divmod(key, p)
+            yield self.names[lang], prefixes[prefix], False, docs
+
+    def occurrences(self) -> Iterator[tuple[str, str, bytes, int]]:
+        """Of each language and source the terms with their occurrences."""
+        own, which = np.unique(self.group[self.doc].astype(np.int64) * len(self.terms) + self.ids, return_inverse=True)
+        n = np.zeros(len(own), np.int64)
+        np.add.at(n, which, self.counts)
+        for key, count in zip(own.tolist(), n.tolist()):
+            group, term = divmod(key, len(self.terms))
+            yield self.langs[group], self.sources[group], self.terms[term], count
+
+
+def over_blocks(blocked: DataFrame, low: int, passed, rows_of, schema: str) -> DataFrame:
+    """What ``rows_of`` gives of each ``Block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if passed is None else passed.value
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].values for c in batch.schema.names}
-                terms, langs, sources = (row[c].to_pylist() for c in ("terms", "langs", "sources"))
-                group, upto, ids, counts = (row[c].to_numpy() for c in ("group", "upto", "ids", "counts"))
-                size = np.fromiter(map(len, terms), np.int64, len(terms))
-                names = list(dict.fromkeys(langs))
-                lang_of = np.array([names.index(x) for x in langs])
-                doc = np.repeat(np.arange(len(group)), np.diff(upto))
-                kept = size[ids] > low
-                doc, ids, counts = doc[kept], ids[kept], counts[kept]
-                if bits is not None:
-                    short, place = cut(terms, size > low, low)
-                    pairs, which = np.unique(lang_of[group[doc]] * len(short) + place[ids], return_inverse=True)
-                    at = np.fromiter((slot(names[x // len(short)], short[x % len(short)]) for x in pairs.tolist()), np.int64, len(pairs))
-                    kept = (bits[at >> 3] >> (at & 7) & 1).astype(bool)[which]
-                    doc, ids, counts = doc[kept], ids[kept], counts[kept]
-                whole = size[ids] <= high
-                own, which = np.unique(group[doc[whole]].astype(np.int64) * len(terms) + ids[whole], return_inverse=True)
-                docs, n = np.bincount(which, minlength=len(own)), np.zeros(len(own), np.int64)
-                np.add.at(n, which, counts[whole])
-                g, t = np.divmod(own, max(1, len(terms)))
-                longer = np.zeros(len(terms), bool)
-                longer[ids[~whole]] = True
-                prefixes, place = cut(terms, longer, high)
-                p = max(1, len(prefixes))
-                d, x = np.divmod(np.unique(doc[~whole] * p + place[ids[~whole]]), p)
-                own, of_cut = np.unique(lang_of[group[d]] * p + x, return_counts=True)
-                rows = [
-                    [langs[i] for i in g.tolist()] + [names[i] for i in (own // p).tolist()],
-                    [sources[i] for i in g.tolist()] + [None] * len(own),
-                    [terms[i] for i in t.tolist()] + [prefixes[i] for i in (own % p).tolist()],
-                    [True] * len(g) + [False] * len(own),
-                    np.concatenate([docs, of_cut]).astype(np.int64),
-                    np.concatenate([n, np.zeros(len(own), np.int64)]),
-                ]
-                types = (pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], ["lang", "source", "prefix", "complete", "docs", "n"])
-
-    return blocked.mapInArrow(run, "lang string, source string, prefix binary, complete boolean, docs long, n long")
+                columns = list(zip(*rows_of(Block(batch, r, low, None if passed is None else passed.value))))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
+
+    kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "long": pa.int64()}
+    names, types = zip(*((f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")))
+    return blocked.mapInArrow(run, schema)
 
 
 def filter_of(prefixes: DataFrame) -> np.ndarray:
@@ -154,24 +169,22 @@ def filter_of(prefixes: DataFrame) -> np.ndarray:
 
 def kept_terms(blocked: DataFrame, least: int) -> DataFrame:
     """``lang, source, term, n``: the occurrences of every kept term in every source that has it."""
-    spark, found, low, high, passed = blocked.sparkSession, [], 0, FIRST_BYTES, None
+    context, found, low, high, passed = blocked.sparkSession.sparkContext, None, 0, FIRST_BYTES, None
     while True:
-        counted = level(blocked, low, high, passed).groupBy("lang", "source", "prefix", "complete").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-        counted = written(counted, f"level{high}")
-        whole = counted.filter("complete")
-        common = whole.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "prefix")
-        found.append(whole.join(common, ["lang", "prefix"], "left_semi"))
-        left = counted.filter("not complete").filter(F.col("docs") >= least)
+        counted = over_blocks(blocked, low, passed, lambda block, high=high: block.documents(high), "lang string, prefix binary, complete boolean, docs long")
+        common = written(counted.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least), f"level{high}")
+        whole = common.filter("complete").select("lang", "prefix")
+        found = whole if found is None else found.union(whole)
+        left = common.filter("not complete")
         if passed is not None:
             passed.unpersist()
         if left.isEmpty():
             break
-        passed = spark.sparkContext.broadcast(filter_of(left))
+        passed = context.broadcast(filter_of(left))
         low, high = high, 2 * high
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
+    counted = over_blocks(blocked, 0, context.broadcast(filter_of(found)), Block.occurrences, "lang string, source string, prefix binary, n long")
+    counted = counted.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(found, ["lang", "prefix"], "left_semi")
+    return counted.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
 
 
 def share(n: str, total: str, kept: str) -> Column:
