@@ -28,12 +28,13 @@ any length is one term; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,12 @@ from pyspark.sql.window import Window
 from tessera.llm.common import table, written
 from tessera.llm.packing import slices
 
-#: Letters A-Z, a-z and every byte of a character beyond ASCII.
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: Terms are runs of letters and of bytes beyond ASCII: A-Z become a-z, other bytes end a term.
+AS_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FIRST_BYTES = 4
 FILTER_BITS = 1 << 24  # 2 MB
 BLOCK_BYTES = 16 << 20  # of texts whose terms are counted together
+HELD_ROWS = 2_000_000  # that a task sums before it hands them on
 TILE = 256
 ROWS = 1024  # terms compared at once
 BUCKETS = 32  # parts of a language's terms
@@ -58,15 +60,18 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, BLOCK_BYTES):
-                terms, groups, ids, counts, upto = {}, {}, [], [], [0]
+            for part in slices(batch, BLOCK_BYTES) if batch.num_rows else ():
+                terms: defaultdict[bytes, int] = defaultdict()
+                terms.default_factory = terms.__len__  # a new term takes the next number
+                groups, ids, counts, upto = {}, array("i"), array("q"), [0]
                 for text in part.column("text"):
-                    own = Counter(TERM.findall(text.as_py().lower()))
-                    ids.extend([terms.setdefault(t, len(terms)) for t in own])
+                    own = Counter(text.as_py().translate(AS_TERMS).split())
+                    ids.extend(map(terms.__getitem__, own))
                     counts.extend(own.values())
                     upto.append(len(ids))
                 group = [groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())]
-                columns = [pa.array([list(x)], pa.list_(t)) for x, t in zip((terms, *zip(*groups), group, upto, ids, counts), (pa.binary(), pa.string(), pa.string(), *(pa.int32(),) * 3, pa.int64()))]
+                flat = [pa.array(list(x), t) for x, t in zip((terms, *zip(*groups), group, upto), (pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int32()))] + [pa.array(np.asarray(x)) for x in (ids, counts)]
+                columns = [pa.ListArray.from_arrays([0, len(x)], x) for x in flat]
                 yield pa.RecordBatch.from_arrays(columns, ["terms", "langs", "sources", "group", "upto", "ids", "counts"])
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -85,68 +90,76 @@ class Block:
 
     def __init__(self, batch: pa.RecordBatch, r: int, low: int, bits: np.ndarray | None):
         row = {c: batch.column(c)[r].values for c in batch.schema.names}
-        self.terms, self.langs, self.sources = (row[c].to_pylist() for c in ("terms", "langs", "sources"))
+        self.terms, self.langs, self.sources = row["terms"], row["langs"], row["sources"]
         self.group, upto, ids, counts = (row[c].to_numpy() for c in ("group", "upto", "ids", "counts"))
-        self.size = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
-        self.names = list(dict.fromkeys(self.langs))
-        self.lang = np.array([self.names.index(x) for x in self.langs])[self.group]  # of each document
+        self.size = pc.binary_length(self.terms).to_numpy()
+        coded = self.langs.dictionary_encode()
+        self.names, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[self.group]  # of each document
         doc = np.repeat(np.arange(len(self.group)), np.diff(upto))
         kept = self.size[ids] > low
         self.doc, self.ids, self.counts = doc[kept], ids[kept], counts[kept]
         if bits is not None:
             short, place = self.cut(self.size > low, low or None)
-            pairs, which = np.unique(self.lang[self.doc] * len(short) + place[self.ids], return_inverse=True)
-            at = np.fromiter((slot(self.names[x // len(short)], short[x % len(short)]) for x in pairs.tolist()), np.int64, len(pairs))
+            p, names, prefixes = max(1, len(short)), self.names.to_pylist(), short.to_pylist()
+            pairs, which = np.unique(self.lang[self.doc] * p + place[self.ids], return_inverse=True)
+            at = np.fromiter((slot(names[x // p], prefixes[x % p]) for x in pairs.tolist()), np.int64, len(pairs))
             kept = (bits[at >> 3] >> (at & 7) & 1).astype(bool)[which]
             self.doc, self.ids, self.counts = self.doc[kept], self.ids[kept], self.counts[kept]
 
-    def cut(self, wanted: np.ndarray, size: int | None) -> tuple[list[bytes], np.ndarray]:
+    def cut(self, wanted: np.ndarray, size: int | None) -> tuple[pa.Array, np.ndarray]:
         """The distinct prefixes of the wanted terms, and of each term the place of its own."""
-        found: dict[bytes, int] = {}
+        own = self.terms.filter(pa.array(wanted))
+        coded = (pc.binary_slice(own, 0, size) if size else own).dictionary_encode()
         place = np.zeros(len(self.terms), np.int64)
-        for i in np.flatnonzero(wanted).tolist():
-            place[i] = found.setdefault(self.terms[i][:size], len(found))
-        return list(found), place
+        place[wanted] = coded.indices.to_numpy()
+        return coded.dictionary, place
 
-    def documents(self, high: int) -> Iterator[tuple[str, bytes, bool, int]]:
-        """Of each language the prefixes of ``high`` bytes, and the terms that are no longer (true), with their number of documents."""
+    def documents(self, high: int) -> list[pa.Array]:
+        """``lang, prefix, complete, docs``: of each language the prefixes of ``high`` bytes, and the terms that are no longer (true), with
+        their number of documents."""
         whole = self.size[self.ids] <= high
-        own, n = np.unique(self.lang[self.doc[whole]] * len(self.terms) + self.ids[whole], return_counts=True)
-        for key, docs in zip(own.tolist(), n.tolist()):
-            lang, term = divmod(key, len(self.terms))
-            yield self.names[lang], self.terms[term], True, docs
+        p = max(1, len(self.terms))
+        of_term, n_terms = np.unique(self.lang[self.doc[whole]] * p + self.ids[whole], return_counts=True)
         longer = np.zeros(len(self.terms), bool)
         longer[self.ids[~whole]] = True
         prefixes, place = self.cut(longer, high)
-        p = max(1, len(prefixes))
-        doc, prefix = np.divmod(np.unique(self.doc[~whole] * p + place[self.ids[~whole]]), p)
-        own, n = np.unique(self.lang[doc] * p + prefix, return_counts=True)
-        for key, docs in zip(own.tolist(), n.tolist()):
-            lang, prefix = divmod(key, p)
-            yield self.names[lang], prefixes[prefix], False, docs
-
-    def occurrences(self) -> Iterator[tuple[str, str, bytes, int]]:
-        """Of each language and source the terms with their occurrences."""
-        own, which = np.unique(self.group[self.doc].astype(np.int64) * len(self.terms) + self.ids, return_inverse=True)
+        q = max(1, len(prefixes))
+        doc, prefix = np.divmod(np.unique(self.doc[~whole] * q + place[self.ids[~whole]]), q)
+        of_cut, n_cut = np.unique(self.lang[doc] * q + prefix, return_counts=True)
+        lang = np.concatenate([of_term // p, of_cut // q])
+        text = pa.concat_arrays([self.terms.take(pa.array(of_term % p)), prefixes.take(pa.array(of_cut % q))])
+        return [self.names.take(pa.array(lang)), text, pa.array(np.arange(len(lang)) < len(of_term)), pa.array(np.concatenate([n_terms, n_cut]).astype(np.int64))]
+
+    def occurrences(self) -> list[pa.Array]:
+        """``lang, source, term, n``: of each language and source the terms with their occurrences."""
+        p = max(1, len(self.terms))
+        own, which = np.unique(self.group[self.doc].astype(np.int64) * p + self.ids, return_inverse=True)
         n = np.zeros(len(own), np.int64)
         np.add.at(n, which, self.counts)
-        for key, count in zip(own.tolist(), n.tolist()):
-            group, term = divmod(key, len(self.terms))
-            yield self.langs[group], self.sources[group], self.terms[term], count
+        group = pa.array(own // p)
+        return [self.langs.take(group), self.sources.take(group), self.terms.take(pa.array(own % p)), pa.array(n)]
 
 
-def over_blocks(blocked: DataFrame, low: int, passed, rows_of, schema: str) -> DataFrame:
-    """What ``rows_of`` gives of each ``Block``."""
+def over_blocks(blocked: DataFrame, low: int, passed, columns_of, schema: str) -> DataFrame:
+    """What ``columns_of`` gives of each ``Block``, its last column summed over the blocks of a task."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(tables).group_by(names[:-1], use_threads=False).aggregate([(names[-1], "sum")])
+        return out.select([*names[:-1], f"{names[-1]}_sum"]).rename_columns(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for r in range(batch.num_rows):
-                columns = list(zip(*rows_of(Block(batch, r, low, None if passed is None else passed.value))))
-                if columns:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
+                held.append(pa.Table.from_arrays(columns_of(Block(batch, r, low, None if passed is None else passed.value)), names))
+                if sum(t.num_rows for t in held) > HELD_ROWS:
+                    held = [summed(held)]
+                    if held[0].num_rows > HELD_ROWS:
+                        yield from held.pop().to_batches(100_000)
+        if held:
+            yield from summed(held).to_batches(100_000)
 
-    kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "long": pa.int64()}
-    names, types = zip(*((f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")))
     return blocked.mapInArrow(run, schema)
 
 
