@@ -47,16 +47,20 @@ from tessera.llm.packing import slices
 AS_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FIRST_BYTES = 4
 FILTER_BITS = 1 << 24  # 2 MB
-BLOCK_BYTES = 16 << 20  # of texts whose terms are counted together
+BLOCK_BYTES = 8 << 20  # of texts whose terms are counted together
 HELD_ROWS = 2_000_000  # that a task sums before it hands them on
 TILE = 256
 ROWS = 1024  # terms compared at once
 BUCKETS = 32  # parts of a language's terms
 
 
+BLOCKS = "terms binary, langs array<string>, sources array<string>, `group` binary, upto binary, ids binary, sum_group binary, sum_term binary, sum_n binary"
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """A row for each block of documents: its distinct ``terms``, the ``langs`` and ``sources`` of its groups, and of each document its
-    ``group``, where its terms begin (``upto``), their places among the block's (``ids``) and their ``counts``."""
+    """A row for each block of documents: its distinct ``terms`` between blanks, the ``langs`` and ``sources`` of its groups; of each document
+    its ``group``, where its terms begin (``upto``) and their places among the block's (``ids``); and of each group its terms and their
+    occurrences. Numbers are bytes, so that only Python takes them apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,13 +74,18 @@ def blocks(docs: DataFrame) -> DataFrame:
                     counts.extend(own.values())
                     upto.append(len(ids))
                 group = [groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())]
-                flat = [pa.array(list(x), t) for x, t in zip((terms, *zip(*groups), group, upto), (pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int32()))] + [pa.array(np.asarray(x)) for x in (ids, counts)]
-                columns = [pa.ListArray.from_arrays([0, len(x)], x) for x in flat]
-                yield pa.RecordBatch.from_arrays(columns, ["terms", "langs", "sources", "group", "upto", "ids", "counts"])
+                langs, sources = zip(*groups)
+                p = max(1, len(terms))
+                keys = np.repeat(np.array(group, np.int64), np.diff(upto)) * p + np.asarray(ids)
+                order = np.argsort(keys, kind="stable")
+                first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+                sums = np.add.reduceat(np.asarray(counts)[order], first) if len(first) else np.empty(0, np.int64)
+                of_group, of_term = np.divmod(keys[order][first], p)
+                numbers = [np.array(group, np.int32), np.array(upto, np.int32), np.asarray(ids, np.int32), of_group.astype(np.int32), of_term.astype(np.int32), sums.astype(np.int64)]
+                columns = [pa.array([b" ".join(terms)]), pa.array([langs], pa.list_(pa.string())), pa.array([sources], pa.list_(pa.string())), *(pa.array([x.tobytes()]) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["terms", "langs", "sources", "group", "upto", "ids", "sum_group", "sum_term", "sum_n"])
 
-    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "terms array<binary>, langs array<string>, sources array<string>, `group` array<int>, upto array<int>, ids array<int>, counts array<long>"
-    )
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, BLOCKS)
 
 
 def slot(lang: str, prefix: bytes) -> int:
@@ -84,27 +93,38 @@ def slot(lang: str, prefix: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + prefix) % FILTER_BITS
 
 
-class Block:
-    """The terms of one block that are longer than ``low`` bytes and whose prefix of ``low`` bytes, or
-    the whole term where ``low`` is 0, passes the filter ``bits`` for the document's language."""
+def counted(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below ``size`` in order, and how often each occurs."""
+    if size > 8 * len(keys) + 1_000_000:
+        return np.unique(keys, return_counts=True)
+    n = np.bincount(keys, minlength=size)
+    at = np.flatnonzero(n)
+    return at, n[at]
 
-    def __init__(self, batch: pa.RecordBatch, r: int, low: int, bits: np.ndarray | None):
-        row = {c: batch.column(c)[r].values for c in batch.schema.names}
-        self.terms, self.langs, self.sources = row["terms"], row["langs"], row["sources"]
-        self.group, upto, ids, counts = (row[c].to_numpy() for c in ("group", "upto", "ids", "counts"))
+
+class Block:
+    """One row of ``blocks``; of its documents the terms that are longer than ``low`` bytes and whose prefix of ``low`` bytes
+    passes the filter ``bits`` for the document's language."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int):
+        numbers = lambda c, kind=np.int32: np.frombuffer(batch.column(c)[r].as_buffer(), kind)
+        joined = batch.column("terms")[r].as_py()
+        self.terms = pa.array(joined.split(b" ") if joined else [], pa.binary())
+        self.langs, self.sources = batch.column("langs")[r].values, batch.column("sources")[r].values
+        self.group, self.upto, self.ids = numbers("group"), numbers("upto"), numbers("ids")
+        self.sums = numbers("sum_group"), numbers("sum_term"), numbers("sum_n", np.int64)
         self.size = pc.binary_length(self.terms).to_numpy()
         coded = self.langs.dictionary_encode()
-        self.names, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)[self.group]  # of each document
-        doc = np.repeat(np.arange(len(self.group)), np.diff(upto))
-        kept = self.size[ids] > low
-        self.doc, self.ids, self.counts = doc[kept], ids[kept], counts[kept]
-        if bits is not None:
-            short, place = self.cut(self.size > low, low or None)
-            p, names, prefixes = max(1, len(short)), self.names.to_pylist(), short.to_pylist()
-            pairs, which = np.unique(self.lang[self.doc] * p + place[self.ids], return_inverse=True)
-            at = np.fromiter((slot(names[x // p], prefixes[x % p]) for x in pairs.tolist()), np.int64, len(pairs))
-            kept = (bits[at >> 3] >> (at & 7) & 1).astype(bool)[which]
-            self.doc, self.ids, self.counts = self.doc[kept], self.ids[kept], self.counts[kept]
+        self.names, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)  # of each group
+
+    def passes(self, lang: np.ndarray, ids: np.ndarray, wanted: np.ndarray, size: int | None, bits: np.ndarray) -> np.ndarray:
+        """Which of the terms ``ids`` of languages ``lang`` pass the filter by their prefix of ``size`` bytes."""
+        short, place = self.cut(wanted, size)
+        p, names, prefixes = max(1, len(short)), self.names.to_pylist(), short.to_pylist()
+        keys = lang * p + place[ids]
+        pairs, _ = counted(keys, len(names) * p)
+        at = np.fromiter((slot(names[x // p], prefixes[x % p]) for x in pairs.tolist()), np.int64, len(pairs))
+        return (bits[at >> 3] >> (at & 7) & 1).astype(bool)[np.searchsorted(pairs, keys)] if len(pairs) else np.zeros(0, bool)
 
     def cut(self, wanted: np.ndarray, size: int | None) -> tuple[pa.Array, np.ndarray]:
         """The distinct prefixes of the wanted terms, and of each term the place of its own."""
@@ -114,37 +134,45 @@ class Block:
         place[wanted] = coded.indices.to_numpy()
         return coded.dictionary, place
 
-    def documents(self, high: int) -> list[pa.Array]:
+    def documents(self, low: int, high: int, bits: np.ndarray | None) -> list[pa.Array]:
         """``lang, prefix, complete, docs``: of each language the prefixes of ``high`` bytes, and the terms that are no longer (true), with
         their number of documents."""
-        whole = self.size[self.ids] <= high
+        doc, ids = np.repeat(np.arange(len(self.group)), np.diff(self.upto)), self.ids
+        if low:
+            kept = self.size[ids] > low
+            doc, ids = doc[kept], ids[kept]
+        lang = self.lang[self.group]  # of each document
+        if bits is not None:
+            kept = self.passes(lang[doc], ids, self.size > low, low, bits)
+            doc, ids = doc[kept], ids[kept]
+        whole = self.size[ids] <= high
         p = max(1, len(self.terms))
-        of_term, n_terms = np.unique(self.lang[self.doc[whole]] * p + self.ids[whole], return_counts=True)
+        of_term, n_terms = counted(lang[doc[whole]] * p + ids[whole], len(self.names) * p)
         longer = np.zeros(len(self.terms), bool)
-        longer[self.ids[~whole]] = True
+        longer[ids[~whole]] = True
         prefixes, place = self.cut(longer, high)
         q = max(1, len(prefixes))
-        doc, prefix = np.divmod(np.unique(self.doc[~whole] * q + place[self.ids[~whole]]), q)
-        of_cut, n_cut = np.unique(self.lang[doc] * q + prefix, return_counts=True)
-        lang = np.concatenate([of_term // p, of_cut // q])
+        own, prefix = np.divmod(np.unique(doc[~whole] * q + place[ids[~whole]]), q)
+        of_cut, n_cut = counted(lang[own] * q + prefix, len(self.names) * q)
+        langs = np.concatenate([of_term // p, of_cut // q])
         text = pa.concat_arrays([self.terms.take(pa.array(of_term % p)), prefixes.take(pa.array(of_cut % q))])
-        return [self.names.take(pa.array(lang)), text, pa.array(np.arange(len(lang)) < len(of_term)), pa.array(np.concatenate([n_terms, n_cut]).astype(np.int64))]
+        return [self.names.take(pa.array(langs)), text, pa.array(np.arange(len(langs)) < len(of_term)), pa.array(np.concatenate([n_terms, n_cut]).astype(np.int64))]
 
-    def occurrences(self) -> list[pa.Array]:
-        """``lang, source, term, n``: of each language and source the terms with their occurrences."""
-        p = max(1, len(self.terms))
-        own, which = np.unique(self.group[self.doc].astype(np.int64) * p + self.ids, return_inverse=True)
-        n = np.zeros(len(own), np.int64)
-        np.add.at(n, which, self.counts)
-        group = pa.array(own // p)
-        return [self.langs.take(group), self.sources.take(group), self.terms.take(pa.array(own % p)), pa.array(n)]
+    def occurrences(self, bits: np.ndarray) -> list[pa.Array]:
+        """``lang, source, term, n``: of each language and source the terms that pass the filter as a whole, with their occurrences."""
+        group, term, n = self.sums
+        kept = self.passes(self.lang[group], term, np.ones(len(self.terms), bool), None, bits)
+        at = pa.array(group[kept])
+        return [self.langs.take(at), self.sources.take(at), self.terms.take(pa.array(term[kept])), pa.array(n[kept])]
 
 
-def over_blocks(blocked: DataFrame, low: int, passed, columns_of, schema: str) -> DataFrame:
+def over_blocks(blocked: DataFrame, columns_of, schema: str) -> DataFrame:
     """What ``columns_of`` gives of each ``Block``, its last column summed over the blocks of a task."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def summed(tables: list[pa.Table]) -> pa.Table:
+        if len(tables) == 1:
+            return tables[0]
         out = pa.concat_tables(tables).group_by(names[:-1], use_threads=False).aggregate([(names[-1], "sum")])
         return out.select([*names[:-1], f"{names[-1]}_sum"]).rename_columns(names)
 
@@ -152,7 +180,7 @@ def over_blocks(blocked: DataFrame, low: int, passed, columns_of, schema: str) -
         held: list[pa.Table] = []
         for batch in batches:
             for r in range(batch.num_rows):
-                held.append(pa.Table.from_arrays(columns_of(Block(batch, r, low, None if passed is None else passed.value)), names))
+                held.append(pa.Table.from_arrays(columns_of(Block(batch, r)), names))
                 if sum(t.num_rows for t in held) > HELD_ROWS:
                     held = [summed(held)]
                     if held[0].num_rows > HELD_ROWS:
@@ -184,8 +212,9 @@ def kept_terms(blocked: DataFrame, least: int) -> DataFrame:
     """``lang, source, term, n``: the occurrences of every kept term in every source that has it."""
     context, found, low, high, passed = blocked.sparkSession.sparkContext, None, 0, FIRST_BYTES, None
     while True:
-        counted = over_blocks(blocked, low, passed, lambda block, high=high: block.documents(high), "lang string, prefix binary, complete boolean, docs long")
-        common = written(counted.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least), f"level{high}")
+        own = lambda block, low=low, high=high, passed=passed: block.documents(low, high, None if passed is None else passed.value)
+        sums = over_blocks(blocked, own, "lang string, prefix binary, complete boolean, docs long")
+        common = written(sums.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least), f"level{high}")
         whole = common.filter("complete").select("lang", "prefix")
         found = whole if found is None else found.union(whole)
         left = common.filter("not complete")
@@ -195,9 +224,12 @@ def kept_terms(blocked: DataFrame, least: int) -> DataFrame:
             break
         passed = context.broadcast(filter_of(left))
         low, high = high, 2 * high
-    counted = over_blocks(blocked, 0, context.broadcast(filter_of(found)), Block.occurrences, "lang string, source string, prefix binary, n long")
-    counted = counted.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(found, ["lang", "prefix"], "left_semi")
-    return counted.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
+    kept = context.broadcast(filter_of(found))
+    # Fewer tasks sum more before they shuffle.
+    larger = blocked.coalesce(max(context.defaultParallelism, -(-blocked.rdd.getNumPartitions() // 3)))
+    sums = over_blocks(larger, lambda block: block.occurrences(kept.value), "lang string, source string, prefix binary, n long")
+    sums = sums.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(found, ["lang", "prefix"], "left_semi")
+    return sums.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
 
 
 def share(n: str, total: str, kept: str) -> Column:
