@@ -48,7 +48,7 @@ AS_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 FIRST_BYTES = 4
 FILTER_BITS = 1 << 24  # 2 MB
 BLOCK_BYTES = 8 << 20  # of texts whose terms are counted together
-HELD_ROWS = 2_000_000  # that a task sums before it hands them on
+HELD_ROWS = 1_000_000  # that a task sums before it hands them on
 TILE = 256
 ROWS = 1024  # terms compared at once
 BUCKETS = 32  # parts of a language's terms
@@ -111,8 +111,11 @@ class Block:
         joined = batch.column("terms")[r].as_py()
         self.terms = pa.array(joined.split(b" ") if joined else [], pa.binary())
         self.langs, self.sources = batch.column("langs")[r].values, batch.column("sources")[r].values
-        self.group, self.upto, self.ids = numbers("group"), numbers("upto"), numbers("ids")
-        self.sums = numbers("sum_group"), numbers("sum_term"), numbers("sum_n", np.int64)
+        has = batch.schema.names
+        if "ids" in has:
+            self.group, self.upto, self.ids = numbers("group"), numbers("upto"), numbers("ids")
+        if "sum_n" in has:
+            self.sums = numbers("sum_group"), numbers("sum_term"), numbers("sum_n", np.int64)
         self.size = pc.binary_length(self.terms).to_numpy()
         coded = self.langs.dictionary_encode()
         self.names, self.lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)  # of each group
@@ -158,12 +161,11 @@ class Block:
         text = pa.concat_arrays([self.terms.take(pa.array(of_term % p)), prefixes.take(pa.array(of_cut % q))])
         return [self.names.take(pa.array(langs)), text, pa.array(np.arange(len(langs)) < len(of_term)), pa.array(np.concatenate([n_terms, n_cut]).astype(np.int64))]
 
-    def occurrences(self, bits: np.ndarray) -> list[pa.Array]:
-        """``lang, source, term, n``: of each language and source the terms that pass the filter as a whole, with their occurrences."""
+    def occurrences(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The groups, terms and occurrences of the terms that pass the filter as a whole."""
         group, term, n = self.sums
         kept = self.passes(self.lang[group], term, np.ones(len(self.terms), bool), None, bits)
-        at = pa.array(group[kept])
-        return [self.langs.take(at), self.sources.take(at), self.terms.take(pa.array(term[kept])), pa.array(n[kept])]
+        return group[kept], term[kept], n[kept]
 
 
 def over_blocks(blocked: DataFrame, columns_of, schema: str) -> DataFrame:
@@ -181,14 +183,54 @@ def over_blocks(blocked: DataFrame, columns_of, schema: str) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 held.append(pa.Table.from_arrays(columns_of(Block(batch, r)), names))
-                if sum(t.num_rows for t in held) > HELD_ROWS:
+                if sum(t.num_rows for t in held) > HELD_ROWS // 2:
                     held = [summed(held)]
-                    if held[0].num_rows > HELD_ROWS:
+                    if held[0].num_rows > HELD_ROWS // 2:
                         yield from held.pop().to_batches(100_000)
         if held:
             yield from summed(held).to_batches(100_000)
 
-    return blocked.mapInArrow(run, schema)
+    return blocked.select("terms", "langs", "sources", "group", "upto", "ids").mapInArrow(run, schema)
+
+
+def occurrences(blocked: DataFrame, kept) -> DataFrame:
+    """``lang, source, prefix, n``: the terms that pass the filter with their occurrences in each source, summed over the blocks of a task
+    as numbers of groups and terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: defaultdict[bytes, int] = defaultdict()
+        terms.default_factory = terms.__len__
+        groups: dict[tuple[str, str], int] = {}
+        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            names, words = list(groups), pa.array(list(terms), pa.binary())
+            langs, sources = (pa.array([g[i] for g in names], pa.string()) for i in (0, 1))
+            for i in range(0, len(keys), 100_000):
+                group, term = pa.array(keys[i : i + 100_000] >> 32), pa.array(keys[i : i + 100_000] & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), words.take(term), pa.array(sums[i : i + 100_000])], ["lang", "source", "prefix", "n"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = Block(batch, r)
+                group, term, n = block.occurrences(kept.value)
+                own = np.array([groups.setdefault(g, len(groups)) for g in zip(block.langs.to_pylist(), block.sources.to_pylist())], np.int64)
+                used = np.flatnonzero(np.bincount(term, minlength=len(block.terms)))
+                place = np.zeros(len(block.terms), np.int64)
+                place[used] = np.fromiter(map(terms.__getitem__, block.terms.take(pa.array(used)).to_pylist()), np.int64, len(used))
+                keys, sums = np.concatenate([keys, own[group] << 32 | place[term]]), np.concatenate([sums, n])
+                order = np.argsort(keys, kind="stable")
+                keys, sums = keys[order], sums[order]
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                keys, sums = keys[first], np.add.reduceat(sums, first) if len(first) else sums
+                if len(keys) > HELD_ROWS:
+                    yield from rows()
+                    terms.clear()
+                    groups.clear()
+                    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        yield from rows()
+
+    return blocked.select("terms", "langs", "sources", "sum_group", "sum_term", "sum_n").mapInArrow(run, "lang string, source string, prefix binary, n long")
 
 
 def filter_of(prefixes: DataFrame) -> np.ndarray:
@@ -226,9 +268,8 @@ def kept_terms(blocked: DataFrame, least: int) -> DataFrame:
         low, high = high, 2 * high
     kept = context.broadcast(filter_of(found))
     # Fewer tasks sum more before they shuffle.
-    larger = blocked.coalesce(max(context.defaultParallelism, -(-blocked.rdd.getNumPartitions() // 3)))
-    sums = over_blocks(larger, lambda block: block.occurrences(kept.value), "lang string, source string, prefix binary, n long")
-    sums = sums.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(found, ["lang", "prefix"], "left_semi")
+    larger = blocked.coalesce(max(context.defaultParallelism, -(-blocked.rdd.getNumPartitions() // 2)))
+    sums = occurrences(larger, kept).groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(found, ["lang", "prefix"], "left_semi")
     return sums.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n")
 
 
