@@ -118,10 +118,13 @@ def optional_float(x: str | Column) -> Column:
     return _col(x).try_cast("double")
 
 
+TEMPO_OFF, TEMPO_SHARE_OFF = 1.0, 0.025  # Fixed values: how far apart equal tempos may be, in beats a minute and as a share
+
+
 def tempo_relation(left: str | Column, right: str | Column) -> Column:
-    """same, half-double, different, or unknown. The tolerance, max(1, 2.5 %)."""
+    """same, half-double, different, or unknown."""
     a, b = _col(left), _col(right)
-    close = lambda x, y: F.abs(x - y) <= F.greatest(F.lit(1.0), 0.025 * F.greatest(F.abs(x), F.abs(y)))
+    close = lambda x, y: F.abs(x - y) <= F.greatest(F.lit(TEMPO_OFF), TEMPO_SHARE_OFF * F.greatest(F.abs(x), F.abs(y)))
     return F.when(a.isNull() | b.isNull() | (a <= 0) | (b <= 0), "unknown").when(close(a, b), "same").when(close(a * 2, b) | close(a, b * 2), "half-double").otherwise("different")
 
 
@@ -169,6 +172,7 @@ def throughput(work: str | Column, seconds: str | Column) -> Column:
 
 # How a tempo may be misread in a short loop, the beats that loops have, and the tempos looked for.
 TEMPO_RATIOS, LOOP_BEATS, SLOWEST, FASTEST, LONGEST_LOOP = (0.5, 2 / 3, 1.0, 1.5, 2.0), (8, 16, 32, 64, 128), 45.0, 240.0, 30.0
+BEATS_OFF, SHARE_OFF = 0.25, 0.005  # Fixed values: how far from a usual number of beats a reading may be, in beats and as a share
 
 
 def loop_tempo(bpm: str | Column, seconds: str | Column) -> Column:
@@ -184,7 +188,7 @@ def loop_tempo(bpm: str | Column, seconds: str | Column) -> Column:
 
     def exact(x: Column, best: Column) -> Column:
         tempo = best["beats"] * 60.0 / x["seconds"]
-        usable = (x["bpm"] > 0) & (x["seconds"] > 0) & (x["seconds"] <= LONGEST_LOOP) & (best["error"] <= 0.25) & (best["share"] <= 0.005) & tempo.between(SLOWEST, FASTEST)
+        usable = (x["bpm"] > 0) & (x["seconds"] > 0) & (x["seconds"] <= LONGEST_LOOP) & (best["error"] <= BEATS_OFF) & (best["share"] <= SHARE_OFF) & tempo.between(SLOWEST, FASTEST)
         return F.when(F.coalesce(usable, F.lit(False)), tempo).otherwise(x["bpm"])
 
     # Bound to variables, so that no part is written or computed twice.

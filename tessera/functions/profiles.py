@@ -18,40 +18,87 @@ from tessera.functions.verdicts import mixed_confidence
 # The labels of each group of tags, in lower case, and how many tags a group keeps.
 GROUPS = {
     "genre": (
-        "pop music, hip hop music, rock music, heavy metal, punk rock, grunge, progressive rock, rock and roll, psychedelic rock, rhythm and blues, soul music, reggae, country, swing music, bluegrass, funk, "
-        "folk music, middle eastern music, jazz, disco, classical music, opera, electronic music, house music, techno, dubstep, drum and bass, electronica, electronic dance music, ambient music, trance music, "
-        "music of latin america, salsa music, flamenco, blues, new-age music, vocal music".split(", "),
+        [
+            "pop music", "hip hop music", "rock music", "heavy metal", "punk rock", "grunge", "progressive rock", "rock and roll",
+            "psychedelic rock", "rhythm and blues", "soul music", "reggae", "country", "swing music", "bluegrass", "funk", "folk music",
+            "middle eastern music", "jazz", "disco", "classical music", "opera", "electronic music", "house music", "techno", "dubstep",
+            "drum and bass", "electronica", "electronic dance music", "ambient music", "trance music", "music of latin america", "salsa music",
+            "flamenco", "blues", "new-age music", "vocal music",
+        ],
         8,
     ),
-    "mood": ("happy music, funny music, sad music, tender music, exciting music, angry music, scary music".split(", "), 5),
-    "vocal": ("singing, choir, chant, mantra, male singing, female singing, child singing, synthetic singing, rapping, humming, vocal music, a capella".split(", "), 5),
+    "mood": (
+        [
+            "happy music", "funny music", "sad music", "tender music", "exciting music", "angry music", "scary music",
+        ],
+        5,
+    ),
+    "vocal": (
+        [
+            "singing", "choir", "chant", "mantra", "male singing", "female singing", "child singing", "synthetic singing", "rapping", "humming",
+            "vocal music", "a capella",
+        ],
+        5,
+    ),
     "instrument": (
-        "musical instrument, guitar, electric guitar, bass guitar, acoustic guitar, piano, electric piano, keyboard (musical), organ, electronic organ, hammond organ, synthesizer, drum kit, drum, snare drum, "
-        "bass drum, timpani, tabla, cymbal, hi-hat, wood block, tambourine, maraca, gong, tubular bells, mallet percussion, glockenspiel, vibraphone, steelpan, orchestra, brass instrument, french horn, trumpet, "
-        "trombone, bowed string instrument, string section, cello, double bass, flute, saxophone, clarinet, harp, bell, accordion, harmonica, banjo, mandolin, ukulele".split(", ")
-        + ["steel guitar, slide guitar", "marimba, xylophone", "violin, fiddle", "wind instrument, woodwind instrument"],
+        [
+            "musical instrument", "guitar", "electric guitar", "bass guitar", "acoustic guitar", "piano", "electric piano", "keyboard (musical)",
+            "organ", "electronic organ", "hammond organ", "synthesizer", "drum kit", "drum", "snare drum", "bass drum", "timpani", "tabla", "cymbal",
+            "hi-hat", "wood block", "tambourine", "maraca", "gong", "tubular bells", "mallet percussion", "glockenspiel", "vibraphone", "steelpan",
+            "orchestra", "brass instrument", "french horn", "trumpet", "trombone", "bowed string instrument", "string section", "cello",
+            "double bass", "flute", "saxophone", "clarinet", "harp", "bell", "accordion", "harmonica", "banjo", "mandolin", "ukulele",
+            "steel guitar, slide guitar", "marimba, xylophone", "violin, fiddle", "wind instrument, woodwind instrument",
+        ],
         8,
     ),
-    "production": ("electronic music, electronica, electronic dance music, synthesizer, drum machine, sampler, distortion, effects unit".split(", "), 5),
-}
+    "production": (
+        [
+            "electronic music", "electronica", "electronic dance music", "synthesizer", "drum machine", "sampler", "distortion", "effects unit",
+        ],
+        5,
+    ),
+}
 # The family of each genre tag.
 TAG_FAMILIES = {
-    "Pop": "pop music, vocal music".split(", "),
-    "Hip Hop": ["hip hop music"],
-    "Rock": "rock music, heavy metal, punk rock, grunge, progressive rock, rock and roll, psychedelic rock".split(", "),
-    "Electronic": "electronic music, house music, techno, dubstep, drum and bass, electronica, electronic dance music, ambient music, trance music".split(", "),
-    "Funk / Soul": "rhythm and blues, soul music, funk".split(", "),
-    "Jazz": ["jazz"],
-    "Classical": "classical music, opera".split(", "),
-    "Reggae": ["reggae"],
-    "Folk, World, & Country": "country, folk music, bluegrass, middle eastern music".split(", "),
-    "Latin": "music of latin america, salsa music, flamenco".split(", "),
-    "Blues": ["blues"],
+    "pop music": "Pop",
+    "hip hop music": "Hip Hop",
+    "rock music": "Rock",
+    "heavy metal": "Rock",
+    "punk rock": "Rock",
+    "grunge": "Rock",
+    "progressive rock": "Rock",
+    "rock and roll": "Rock",
+    "psychedelic rock": "Rock",
+    "rhythm and blues": "Funk / Soul",
+    "soul music": "Funk / Soul",
+    "reggae": "Reggae",
+    "country": "Folk, World, & Country",
+    "bluegrass": "Folk, World, & Country",
+    "funk": "Funk / Soul",
+    "folk music": "Folk, World, & Country",
+    "middle eastern music": "Folk, World, & Country",
+    "jazz": "Jazz",
+    "classical music": "Classical",
+    "opera": "Classical",
+    "electronic music": "Electronic",
+    "house music": "Electronic",
+    "techno": "Electronic",
+    "dubstep": "Electronic",
+    "drum and bass": "Electronic",
+    "electronica": "Electronic",
+    "electronic dance music": "Electronic",
+    "ambient music": "Electronic",
+    "trance music": "Electronic",
+    "music of latin america": "Latin",
+    "salsa music": "Latin",
+    "flamenco": "Latin",
+    "blues": "Blues",
+    "vocal music": "Pop",
 }
 # What distributors call a family, where it isn't the family's own name.
 DISTRIBUTORS = {"Hip Hop": "Hip-Hop/Rap", "Funk / Soul": "R&B/Soul", "Folk, World, & Country": "Folk/World/Country", "Stage & Screen": "Soundtrack"}
 # The vocal tags that say more than that there is a voice.
-SPECIFIC_VOCALS = "male singing, female singing, child singing, synthetic singing, choir, chant, mantra, rapping, humming, a capella".split(", ")
+SPECIFIC_VOCALS = ["male singing", "female singing", "child singing", "synthetic singing", "choir", "chant", "mantra", "rapping", "humming", "a capella"]
 LEAST_SCORE = 0.03  # Fixed value: weaker tags are no evidence
 
 
@@ -66,7 +113,7 @@ def tag_group(tags: Column, group: str) -> Column:
 
 
 def tag_family(label: Column) -> Column:
-    return _lookup(F.lower(label), {t: family for family, tags in TAG_FAMILIES.items() for t in tags})
+    return _lookup(F.lower(label), TAG_FAMILIES)
 
 
 def leaf_of(label: Column) -> Column:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 # Bands in which the loss of mono sums is judged, in Hz.
 MONO_BANDS = [("low_20_120", 20.0, 120.0), ("low_mid_120_500", 120.0, 500.0), ("presence_500_4000", 500.0, 4000.0), ("high_4000_18000", 4000.0, 18000.0)]
 N_MFCC, N_CHROMA, N_CONTRAST = 20, 12, 7  # Fixed values: the sizes of the three families of the acoustic vector
+# Fixed values of the detector of attacks: windows and distances in ms, its weight of a rise, and the bounds of score, level and prominence.
+FAST_MS, SLOW_MS, RISE_MS, DISTANCE_MS, MARGIN_MS = 8, 80, 16, 85, 180
+ATTACK_WARN, ATTACK_FAIL = -0.75, -1.5  # Fixed values: the bounds in dB of what attacks may lose
+RISE_WEIGHT, LEAST_SCORE, SCORE_SHARE, LEVEL_SHARE, LEVEL_RANGE_DB, PROMINENCE_DB = 0.35, 1.0, 0.70, 0.55, 38.0, 0.75
 
 
 def none(**kinds: type) -> pd.DataFrame:
@@ -76,8 +80,28 @@ def onsets(strength: DataFrame, reach: int = 3, wide: int = 10, above: float = 0
     return marked.filter((F.col("value") == F.col("_near")) & (F.col("value") > 0) & (F.col("value") >= F.col("_mean") + above * F.col("_most"))).select("path", "t", "value")
 
 
+def refined_period(power: np.ndarray, lag: int, most: int = 32) -> float:
+    """The period near ``lag`` of an autocorrelation, by a straight line through the places of its peaks at the multiples of the period,
+    up to half of the series. A peak's place is the centre of the three values around it."""
+    period, num, den = float(lag), 0.0, 0.0
+    for m in range(1, most + 1):
+        middle, reach = round(m * period), 1 if m == 1 else 2
+        if middle + reach + 1 >= len(power) or (m > 1 and 2 * middle > len(power)):
+            break
+        at = middle - reach + int(power[middle - reach : middle + reach + 1].argmax())
+        if at < 1:
+            continue
+        near = power[at - 1 : at + 2] - min(power[at - 1], power[at + 1], power[at])
+        if near.sum() <= 0:
+            continue
+        num, den = num + m * (at + (near[2] - near[0]) / near.sum()), den + m * m
+        period = num / den
+    return period
+
+
 def tempo(strength: DataFrame, steps_per_second: float, slowest: float = 45.0, fastest: float = 240.0) -> DataFrame:
-    """``path, bpm``: the beat whose lag the onset strength correlates best with, tempos near 120 before others; no row where nothing rises."""
+    """``path, bpm``: the beat whose lag the onset strength correlates best with, tempos near 120 before others; no row where nothing
+    rises. The lag is a whole number of steps, so the beat's period is refined by its multiples."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values("t")["value"].to_numpy()
@@ -86,13 +110,13 @@ def tempo(strength: DataFrame, steps_per_second: float, slowest: float = 45.0, f
         power = np.fft.irfft(np.abs(np.fft.rfft(x, n)) ** 2)[: len(x)]
         lags = np.arange(max(1, int(60 * steps_per_second / fastest)), min(len(x), int(60 * steps_per_second / slowest) + 1))
         bpm = 60 * steps_per_second / np.maximum(lags, 1)
-        score = power[lags] / np.maximum(len(x) - lags, 1) * np.exp(-0.5 * np.log2(bpm / 120) ** 2)
+        near = np.convolve(np.pad(power, 1, mode="edge"), np.ones(3), "valid")  # a beat between two steps is spread over both
+        score = near[lags] / np.maximum(len(x) - lags, 1) * np.exp(-0.5 * np.log2(bpm / 120) ** 2)
         if not len(lags) or score.max() <= 0:
             return none(path=object, bpm=float)
-        i = int(score.argmax())
-        a, b, c = (power[lags[i] + k] if 0 <= lags[i] + k < len(power) else power[lags[i]] for k in (-1, 0, 1))
-        shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "bpm": [60 * steps_per_second / (lags[i] + float(np.clip(shift, -0.5, 0.5)))]})
+        best = int(lags[score.argmax()])
+        best = max(best - 1, 1) + int(power[max(best - 1, 1) : best + 2].argmax())
+        return pd.DataFrame({"path": [part["path"].iloc[0]], "bpm": [60 * steps_per_second / refined_period(power, best)]})
 
     return strength.groupBy("path").applyInPandas(run, "path string, bpm double")
 
@@ -105,12 +129,15 @@ def variation(x: Column) -> Column:
 
 def rhythm(onset: DataFrame, tempos: DataFrame, steps_per_second: float, parts: int = 4, lock_ms: float = 20.0) -> DataFrame:
     """A row for each file with onsets: their number, the variation of the gaps, and how far they lie
-    from a grid of ``parts`` to a beat that starts at the first."""
+    from a grid of ``parts`` to a beat. The grid starts at the mean place of the onsets between its lines, weighed by strength: a first onset may
+    be cut off by the file's start."""
     s = F.col("t") / steps_per_second
-    rows = onset.join(tempos, "path", "left").withColumns({"s": s, "gap": s - F.lag(s).over(_file("t")), "first": F.min(s).over(Window.partitionBy("path"))})
     unit = 60.0 / F.col("bpm") / parts
-    phase = (F.col("s") - F.col("first")) / unit
-    rows = rows.withColumn("off", F.abs(phase - F.rint(phase)) * unit * 1000)
+    rows = onset.join(tempos, "path", "left").withColumns({"s": s, "gap": s - F.lag(s).over(_file("t")), "turn": 2 * F.pi() * s / unit})
+    whole = Window.partitionBy("path")
+    start = F.atan2(F.sum(F.col("value") * F.sin("turn")).over(whole), F.sum(F.col("value") * F.cos("turn")).over(whole))
+    phase = (F.col("turn") - F.col("start")) / (2 * F.pi())
+    rows = rows.withColumn("start", start).withColumn("off", F.abs(phase - F.rint(phase)) * unit * 1000)
     p = lambda q: F.percentile("off", F.lit(q))
     return rows.groupBy("path").agg(
         F.count("*").alias("onset_count"), F.first("bpm").alias("tempo_bpm"), variation(F.col("gap")).alias("gap_cv"), variation(F.col("value")).alias("flux_cv"),
@@ -118,22 +145,71 @@ def rhythm(onset: DataFrame, tempos: DataFrame, steps_per_second: float, parts:
     )
 
 
+def prominences(score: np.ndarray, valley: np.ndarray) -> np.ndarray:
+    """How far each peak of a series stands above what separates it from higher ones. ``valley`` has the least value before the first
+    peak, between neighbours, and after the last."""
+
+    def lowest(own, between) -> np.ndarray:
+        out, stack = np.empty(len(own)), []
+        for i, s in enumerate(own):
+            low = between[i]
+            while stack and stack[-1][0] <= s:
+                low = min(low, stack.pop()[1])
+            out[i] = low
+            stack.append((s, low))
+        return out
+
+    right = lowest(score[::-1], valley[::-1])[::-1]
+    return score - np.maximum(lowest(score, valley), right)
+
+
+def apart(t: np.ndarray, score: np.ndarray, distance: int) -> np.ndarray:
+    """Which peaks stay if none may have a higher one that stays nearer than ``distance``; of equal ones the later stays."""
+    stay = np.ones(len(t), bool)
+    for i in np.argsort(score, kind="stable")[::-1]:
+        if stay[i]:
+            for step in (-1, 1):
+                k = i + step
+                while 0 <= k < len(t) and abs(t[k] - t[i]) < distance:
+                    stay[k] = False
+                    k += step
+    return stay
+
+
 def transients(series: DataFrame, step_ms: float = 1.0, most: int = 64) -> DataFrame:
-    """``path, t, score``: the strongest attacks, in the order of time. The score is how far
-    the power of 8 ms rises above that of 80 ms, and above itself 16 ms before; an attack is the greatest
-    within 85 ms, loud enough, and has 180 ms on both sides."""
-    wide = lambda ms: max(1, round(ms / step_ms))
-    s = moving_average(moving_average(series, wide(8), "power", "_fast"), wide(80), "power", "_slow")
+    """``path, t, score, detected``: the strongest attacks, in the order of time, and how many there were. The score is how far
+    the level of ``FAST_MS`` rises above that of ``SLOW_MS``, and above itself ``RISE_MS`` before. Attacks are peaks of the score that are apart,
+    high and prominent, loud enough, and have ``MARGIN_MS`` on both sides. A file's peaks, not its series, meet in one task."""
+    wide = lambda ms: max(1, int(ms / step_ms))
+    s = moving_average(moving_average(series, wide(FAST_MS), "power", "_fast"), wide(SLOW_MS), "power", "_slow")
     db = lambda c: 10 * F.log10(F.greatest(F.col(c), F.lit(1e-18)))
     s = s.withColumn("_level", db("_fast"))
-    rise = F.greatest(F.col("_level") - F.coalesce(F.lag("_level", wide(16)).over(_file("t")), F.col("_level")), F.lit(0.0))
-    s = s.withColumn("score", F.col("_level") - db("_slow") + 0.35 * rise)
-    whole = Window.partitionBy("path")
-    bounds = {"_floor": F.greatest(F.percentile("_level", F.lit(0.55)).over(whole), F.max("_level").over(whole) - 38.0), "_least": F.greatest(F.lit(1.0), F.percentile("score", F.lit(0.7)).over(whole))}
-    s = s.withColumns({**bounds, "_near": F.max("score").over(_file("t").rowsBetween(-wide(85), wide(85))), "_last": F.max("t").over(whole)})
-    found = s.filter((F.col("score") == F.col("_near")) & (F.col("score") >= F.col("_least")) & (F.col("_level") >= F.col("_floor")) & (F.col("t") >= wide(180)) & (F.col("t") <= F.col("_last") - wide(180)))
-    ranked = found.withColumn("_rank", F.row_number().over(whole.orderBy(F.col("score").desc(), F.col("_level").desc(), "t")))
-    return ranked.filter(F.col("_rank") <= most).select("path", "t", "score")
+    rise = F.greatest(F.col("_level") - F.coalesce(F.lag("_level", wide(RISE_MS)).over(_file("t")), F.col("_level")), F.lit(0.0))
+    s = s.withColumn("score", F.col("_level") - db("_slow") + RISE_WEIGHT * rise)
+    before, after = F.lag("score").over(_file("t")), F.lead("score").over(_file("t"))
+    s = s.withColumn("_peak", F.coalesce((F.col("score") > before) & (F.col("score") >= after), F.lit(False)))
+    s = s.withColumn("_part", F.sum(F.col("_peak").cast("long")).over(_file("t")))
+    bounds = s.groupBy("path").agg(
+        F.greatest(F.percentile("_level", F.lit(LEVEL_SHARE)), F.max("_level") - LEVEL_RANGE_DB).alias("floor"), F.greatest(F.lit(LEAST_SCORE), F.percentile("score", F.lit(SCORE_SHARE))).alias("least"), F.max("t").alias("last")
+    )
+    parts = s.groupBy("path", "_part").agg(F.min("score").alias("valley"), F.max(F.when(F.col("_peak"), F.struct("t", "score", "_level"))).alias("peak"))
+    parts = parts.select("path", F.col("_part").alias("part"), "valley", "peak.t", "peak.score", F.col("peak._level").alias("level")).join(bounds, "path")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("part")
+        head, peaks = part[part["part"] == 0], part[part["part"] > 0]
+        if not len(peaks):
+            return none(path=object, t=int, score=float, detected=int)
+        valley = np.concatenate([head["valley"].to_numpy()[:1] if len(head) else peaks["score"].to_numpy()[:1], peaks["valley"].to_numpy()])
+        peaks = peaks.assign(prominence=prominences(peaks["score"].to_numpy(), valley))
+        peaks = peaks[peaks["score"] >= peaks["least"]]
+        peaks = peaks[apart(peaks["t"].to_numpy(), peaks["score"].to_numpy(), wide(DISTANCE_MS))]
+        margin = wide(MARGIN_MS)
+        peaks = peaks[(peaks["prominence"] >= PROMINENCE_DB) & (peaks["level"] >= peaks["floor"]) & (peaks["t"] >= margin) & (peaks["t"] <= peaks["last"] - margin)]
+        best = peaks.sort_values(["score", "level", "t"], ascending=[False, False, True])[:most].sort_values("t")
+        return pd.DataFrame({"path": best["path"], "t": best["t"].astype(int), "score": best["score"], "detected": len(peaks)})
+
+    return parts.groupBy("path").applyInPandas(run, "path string, t long, score double, detected long")
 
 
 def around(series: DataFrame, events: DataFrame, spans: dict[str, tuple[int, int]]) -> DataFrame:
@@ -148,7 +224,7 @@ def around(series: DataFrame, events: DataFrame, spans: dict[str, tuple[int, int
     return near.filter(inside(low, high)).groupBy("path", F.col("event").alias("t")).agg(*aggs)
 
 
-def transient_retention(reference: DataFrame, candidate: DataFrame, events: DataFrame, lag: int = 0, step_ms: float = 1.0, warn: float = -0.75, fail: float = -1.5) -> DataFrame:
+def transient_retention(reference: DataFrame, candidate: DataFrame, events: DataFrame, lag: int = 0, step_ms: float = 1.0, warn: float = ATTACK_WARN, fail: float = ATTACK_FAIL) -> DataFrame:
     """``path, events, rms_delta, contrast_delta, guard, status``: how attacks at ``events`` of the reference came through in the
     candidate, which is ``lag`` steps later. Medians over events of the attack's level, and of attack peak to sustain; the worse is judged."""
     wide = lambda ms: round(ms / step_ms)

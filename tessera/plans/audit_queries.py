@@ -97,7 +97,7 @@ def param_patch(spark, d):
 def facet_filter_catalog(spark, d):
     """Suppliers and customers through all kinds of facets."""
     c, n, r = load(spark, d, "customer"), load(spark, d, "nation"), load(spark, d, "region")
-    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     rows = rows.withColumn("path", F.concat_ws("/", "r_name", "n_name", "c_name")).withColumn("tags", F.array("c_mktsegment", "r_name"))
     where = labels.one_of("c_mktsegment", ["building", "machinery"]) & labels.within("c_acctbal", 0.0, 5000.0) & (labels.overlaps("tags", ["asia", "europe", "building"])) & (labels.in_folder("path", ["asia", "EUROPE/", "america\\"]))
     return rows.filter(where).select("c_custkey", "path")

@@ -81,7 +81,7 @@ def fused_evidence(spark, d):
     """Families of the lines fused with those of the parts' market, which is a weaker source."""
     base = _families(spark, d).select("status", "label", "score")
     kinds = load(spark, d, "part").groupBy(F.col("p_type").alias("label")).agg((F.avg("p_size") / 1000).alias("score"))
-    extra = base.select("status").distinct().join(F.broadcast(kinds.filter("label <> 'ECONOMY'")))  # one row for each type
+    extra = base.select("status").distinct().join(kinds.filter("label <> 'ECONOMY'"), F.lit(True))  # a row for each status and type
     return dist.fuse(base, extra, ["status"]).select("status", "label", F.round("score", 6).alias("score"))
 
 

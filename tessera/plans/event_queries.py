@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import labels
+from tessera.operators.quantiles import percentiles
 from tessera.sources.tables import load
 
 
@@ -38,10 +39,11 @@ def events_gap_stats(spark, d):
     """Gaps between a user's events: median, p95, quartile range and coefficient of variation."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
-    g = _events(spark, d).withColumn("gap", gap).filter("gap is not null").groupBy("user_id")
-    p = lambda q: F.percentile("gap", F.lit(q))
-    out = g.agg(F.count("*").alias("gaps"), F.round(p(0.5), 4).alias("median"), F.round(p(0.95), 4).alias("p95"), F.round(p(0.75) - p(0.25), 4).alias("iqr"), F.stddev_pop("gap").alias("s"), F.avg("gap").alias("m"))
-    return out.select("user_id", "gaps", "median", "p95", "iqr", F.round(F.when((F.col("gaps") >= 2) & (F.abs("m") > 1e-12), F.col("s") / F.abs("m")), 6).alias("cv"))
+    g = _events(spark, d).withColumn("gap", gap).filter("gap is not null").select("user_id", "gap")
+    middle = percentiles(g, ["user_id"], "gap", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    spread = g.groupBy("user_id").agg(F.stddev_pop("gap").alias("s"), F.avg("gap").alias("m"))
+    cv = F.when((F.col("n") >= 2) & (F.abs("m") > 1e-12), F.col("s") / F.abs("m"))
+    return middle.join(spread, "user_id").select("user_id", F.col("n").alias("gaps"), F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"), F.round(F.col("p75") - F.col("p25"), 4).alias("iqr"), F.round(cv, 6).alias("cv"))
 
 
 def events_cumulative_rolloff(spark, d):
@@ -93,8 +95,8 @@ def evidence_after_request(spark, d):
 
 def latency_percentiles(spark, d):
     """Median and 95th percentile of the values of each type, interpolated."""
-    p = lambda q: F.percentile("value", F.lit(q))
-    return _events(spark, d).groupBy("event_type").agg(F.count("value").alias("n"), F.round(p(0.5), 6).alias("p50"), F.round(p(0.95), 6).alias("p95"))
+    found = percentiles(_events(spark, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, small=1000)
+    return found.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def top_events_by_value(spark, d):

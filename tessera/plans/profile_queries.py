@@ -107,7 +107,7 @@ _TRACKS = f"""sums AS (
          CASE WHEN track % 7 <> 0 THEN ['C', 'F#', 'A'][track % 3 + 1] END AS key, CASE WHEN track % 2 = 0 THEN 'minor' END AS mode
   FROM styles JOIN families USING (track) JOIN tg USING (track)
 )"""
-_FAMILY_OF = "CASE lower(label) " + " ".join(f"WHEN '{t}' THEN '{f}'" for f, ts in profiles.TAG_FAMILIES.items() for t in ts) + " END"
+_FAMILY_OF = "CASE lower(label) " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, f in profiles.TAG_FAMILIES.items()) + " END"
 _FUSED = f"""g AS (
   SELECT track, {_FAMILY_OF} AS label, score FROM (SELECT track, unnest(tags, recursive := true) FROM (SELECT track, {_GROUP("genre")} AS tags FROM tracks))
 ), gf AS (

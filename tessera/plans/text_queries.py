@@ -9,7 +9,7 @@ from tessera.functions import labels
 from tessera.operators import indexing, search
 from tessera.sources import files, reports
 from tessera.sources.tables import load
-from tessera.streaming import events
+from tessera.streaming import events, state
 
 CONTRACT = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 30, "maximum": 70}}}
 
@@ -89,7 +89,19 @@ def events_stream_dedupe(spark, d):
     return out.groupBy("event_type").agg(F.count("*").alias("users"), F.count_distinct("user_id").alias("different"))
 
 
-QUERIES = {f.__name__: f for f in (loop_tempos, window_starts, version_numbers, number_formats, source_labels, memory_rows, contract_violations, hit_report, embedded_items, events_stream_windows, events_stream_dedupe)}
+def events_stream_ordered(spark, d):
+    """The stream's events that an hour has passed, each user's in the order of time with their place."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    state.use_state_store(spark)
+    try:
+        out = events.drained(state.ordered(_stream(spark, d), ["user_id"], ["event_type"], late="1 hour"), "ordered")
+    finally:
+        spark.conf.set(name, before)
+    return out.select("user_id", "event_id", "event_type", "place")
+
+
+QUERIES = {f.__name__: f for f in (loop_tempos, window_starts, version_numbers, number_formats, source_labels, memory_rows, contract_violations, hit_report, embedded_items, events_stream_windows, events_stream_dedupe, events_stream_ordered)}
 SQL = {
     "loop_tempos": """WITH p AS (SELECT p_partkey, 60 + p_size * 1.7::DOUBLE AS b, 4 + (p_partkey % 60) * 0.5::DOUBLE AS s FROM part),
         c AS (SELECT p_partkey, b, s, r, n, b * r AS tempo, abs(s * (b * r) / 60.0::DOUBLE - n) AS e
@@ -116,4 +128,6 @@ SQL = {
     "embedded_items": "SELECT DISTINCT p_brand AS item, 16::INT AS dimension, 1.0::DOUBLE AS length FROM part",
     "events_stream_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "events_stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS different FROM events GROUP BY event_type",
+    "events_stream_ordered": """SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS place FROM events
+        WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)""",
 }

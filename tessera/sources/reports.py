@@ -3,12 +3,14 @@ hits, and short tables in Markdown. Files are folders, as Spark writes them."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.labels import safe_token
+from tessera.operators import sessions
 from tessera.sources.files import flat
 
 MARK = "﻿"  # tells spreadsheets that a CSV is UTF-8
@@ -21,6 +23,39 @@ def write_report(summary: DataFrame, rows: DataFrame, path: str, joined: str = "
     flat(rows, joined).write.mode("overwrite").option("header", "true").csv(f"{path}/rows.csv")
 
 
+def report_name(kind: str, *parts: str) -> str:
+    """The name of a report's folder: its kind and what is safe of its parts."""
+    return ".".join([kind, *(re.sub(r"[^\w.-]", "_", p) for p in parts)])
+
+
+def write_validation(rows: DataFrame, outcomes: DataFrame, folder: str, session: str) -> str:
+    """The report of a session: its summary and its tracks."""
+    path = f"{folder}/{report_name('validation', session.replace('-', '')[:8])}"
+    write_report(sessions.session_summary(outcomes).withColumn("session_id", F.lit(session)), sessions.report_rows(rows, sessions.VALIDATION_COLUMNS), path)
+    return path
+
+
+def write_version_comparison(rows: DataFrame, folder: str, left: str, right: str, mode: str = "all") -> str:
+    """The report of two versions: their summary and the compared tracks."""
+    path = f"{folder}/{report_name('version_compare', f'{left}_vs_{right}', mode)}"
+    summary = sessions.version_summary(rows).withColumns({"version_a": F.lit(left), "version_b": F.lit(right), "mode": F.lit(mode)})
+    write_report(summary, sessions.report_rows(rows, sessions.VERSION_COLUMNS), path)
+    return path
+
+
+def write_benchmark(queries: DataFrame, folder: str, suite: str, backend: str, top_k: int, paired: DataFrame | None = None) -> str:
+    """The report of a benchmark as JSON, CSV and Markdown, ``summary.md`` in a folder of one text file."""
+    path = f"{folder}/{report_name('benchmark', suite)}"
+    summary = sessions.benchmark_summary(queries, paired).withColumns({"suite_name": F.lit(suite), "backend_fingerprint": F.lit(backend), "top_k": F.lit(top_k)})
+    write_report(summary, sessions.report_rows(queries, sessions.BENCHMARK_COLUMNS), path, "|")
+    measures = [c for c in summary.columns if c not in ("suite_name", "backend_fingerprint", "top_k")]
+    lines = summary.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.format_string("%.6f", F.col(c).cast("double")), F.lit("N/A")).alias("value")) for c in measures))).alias("m")).select("m.*")
+    head = f"# Retrieval benchmark: {suite}\n\nBackend: `{backend}`, results a query: {top_k}\n\n"
+    text = head + markdown(lines) + "\nWhat these numbers say depends on reviewed relevance labels.\n"
+    queries.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary.md")
+    return path
+
+
 def write_runs(runs: DataFrame, path: str, name: str = "path", run: str = "run_id") -> None:
     """A folder of JSON for each run, named by what is safe of its file's name and its id."""
     token = F.concat_ws(".", safe_token(F.element_at(F.split(name, "[/\\\\]"), -1)), F.left(run, F.lit(8)))
