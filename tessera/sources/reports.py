@@ -49,7 +49,7 @@ def write_benchmark(queries: DataFrame, folder: str, suite: str, backend: str, t
     summary = sessions.benchmark_summary(queries, paired).withColumns({"suite_name": F.lit(suite), "backend_fingerprint": F.lit(backend), "top_k": F.lit(top_k)})
     write_report(summary, sessions.report_rows(queries, sessions.BENCHMARK_COLUMNS), path, "|")
     measures = [c for c in summary.columns if c not in ("suite_name", "backend_fingerprint", "top_k")]
-    lines = summary.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.format_string("%.6f", F.col(c).cast("double")), F.lit("N/A")).alias("value")) for c in measures))).alias("m")).select("m.*")
+    lines = summary.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.6f", F.col(c).cast("double"))).alias("value")) for c in measures))).alias("m")).select("m.*")
     head = f"# Retrieval benchmark: {suite}\n\nBackend: `{backend}`, results a query: {top_k}\n\n"
     text = head + markdown(lines) + "\nWhat these numbers say depends on reviewed relevance labels.\n"
     queries.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary.md")

@@ -22,16 +22,20 @@ def use_state_store(spark: SparkSession) -> None:
 class Ordered(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then gives them out by time and id, with their place."""
 
+    def __init__(self, by: Sequence[str]):
+        self.by = list(by)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "ms long, id long", "payload string")
         self.place = handle.getValueState("place", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        times = set()
+        times, passed = set(), timerValues.getCurrentWatermarkInMs()
         for r in rows:
-            self.held.updateValue((r["_ms"], r["_id"]), (r["_payload"],))
-            times.add(r["_ms"])
+            if r["_ms"] > passed or not passed:  # what is earlier has been given out
+                self.held.updateValue((r["_ms"], r["_id"]), (r["_payload"],))
+                times.add(r["_ms"])
         for ms in times:
             self.handle.registerTimer(ms)
         return iter(())
@@ -44,7 +48,8 @@ class Ordered(StatefulProcessor):
             self.held.removeKey(at)
         if due:
             self.place.update((place + len(due),))
-        return iter([Row(*key, ms, id_, payload, place + i) for i, ((ms, id_), (payload,)) in enumerate(due, 1)])
+        own = dict(zip(self.by, key))
+        return iter([Row(**own, _ms=ms, _id=id_, _payload=payload, place=place + i) for i, ((ms, id_), (payload,)) in enumerate(due, 1)])
 
     def close(self) -> None:
         pass
@@ -53,8 +58,8 @@ class Ordered(StatefulProcessor):
 class Latest(StatefulProcessor):
     """A key's last row by time and id, given out when it changes; a key without rows for ``idle`` is forgotten."""
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    def __init__(self, by: Sequence[str], idle_ms: int):
+        self.by, self.idle_ms = list(by), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -69,7 +74,7 @@ class Latest(StatefulProcessor):
             self.handle.deleteTimer(old[0] + self.idle_ms)
         self.last.update(best)
         self.handle.registerTimer(best[0] + self.idle_ms)
-        return iter([Row(*key, *best)])
+        return iter([Row(**dict(zip(self.by, key)), _ms=best[0], _id=best[1], _payload=best[2])])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.last.clear()
@@ -96,11 +101,11 @@ def _opened(rows: DataFrame, events: DataFrame, by: Sequence[str], values: Seque
 def ordered(events: DataFrame, by: Sequence[str], values: Sequence[str], id_col: str = "event_id", late: str = "1 hour") -> DataFrame:
     """``by, ts, id, values, place``: each key's rows once, in the order of time (to the millisecond) and id, numbered from 1. A row that comes later than ``late``
     behind the stream is left out; one id and time has one row. For append mode."""
-    rows = _keyed(events, by, values, id_col, late).transformWithState(Ordered(), f"{_schema(events, by)}, _ms long, _id long, _payload string, place long", "Append", "EventTime")
+    rows = _keyed(events, by, values, id_col, late).transformWithState(Ordered(by), f"{_schema(events, by)}, _ms long, _id long, _payload string, place long", "Append", "EventTime")
     return _opened(rows, events, by, values, id_col, "place")
 
 
 def latest(events: DataFrame, by: Sequence[str], values: Sequence[str], id_col: str = "event_id", late: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
     """``by, ts, id, values``: a row each time that a key's last row changes. For update mode."""
-    rows = _keyed(events, by, values, id_col, late).transformWithState(Latest(idle_ms), f"{_schema(events, by)}, _ms long, _id long, _payload string", "Update", "EventTime")
+    rows = _keyed(events, by, values, id_col, late).transformWithState(Latest(by, idle_ms), f"{_schema(events, by)}, _ms long, _id long, _payload string", "Update", "EventTime")
     return _opened(rows, events, by, values, id_col)

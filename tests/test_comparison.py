@@ -60,7 +60,7 @@ def test_windows_and_shifts_cross_frames(spark):
 
 def test_a_shifted_and_scaled_copy_is_found(spark):
     r = np.random.default_rng(2)
-    a = clicks(120, 12) + 0.02 * r.normal(size=12 * RATE)
+    a = clicks(120, 12) + 0.002 * r.normal(size=12 * RATE)
     late, early = np.concatenate([np.zeros(400), a]), a[240:]
     rows = {"late": a, "early": a, "loss": a, "soft": a, "apart": a}
     soft = a.copy()
