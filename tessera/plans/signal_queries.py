@@ -62,7 +62,7 @@ def attack_retention(spark, d):
 def band_passed_frames(spark, d):
     """The power of each frame after the band-pass, and its last sample."""
     out = filters.filtered(frames_of(spark, d), block=4)
-    return out.select("path", "frame", F.round(F.aggregate("left", F.lit(0.0), lambda s, x: s + x * x), 8).alias("power"), F.round(F.element_at("left", -1), 8).alias("last"))
+    return out.select("path", "frame", F.round(F.aggregate("left", F.lit(0.0), lambda s, x: s + x * x), 5).alias("power"), F.round(F.element_at("left", -1), 5).alias("last"))
 
 
 def window_peaks(spark, d):
@@ -164,7 +164,7 @@ def _band_pass_sql() -> str:
   SELECT path, -1::BIGINT AS t, {", ".join(f"0::DOUBLE AS {n}" for n in names)}, 0::DOUBLE AS y FROM s WHERE t = 0
   UNION ALL SELECT s.path, s.t, {step}, {linear(c)} + ({float(d)!r}::DOUBLE) * m FROM f JOIN s ON s.path = f.path AND s.t = f.t + 1
 )
-SELECT path, t // 64 AS frame, round(sum(y * y), 8) AS power, round(arg_max(y, t), 8) AS last FROM f WHERE t >= 0 GROUP BY ALL"""
+SELECT path, t // 64 AS frame, round(sum(y * y), 5) AS power, round(arg_max(y, t), 5) AS last FROM f WHERE t >= 0 GROUP BY ALL"""
 
 
 _SERIES = "e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value, value * value AS power FROM events)"
