@@ -147,7 +147,7 @@ _SAMPLES = """s AS (
     SELECT vec_id, i, embedding[i + 1]::FLOAT AS x, (embedding[i + 1]::DOUBLE * (i % 3 - 0.5::DOUBLE))::FLOAT AS y FROM embeddings, (SELECT unnest(range(64)) AS i))
 )"""
 _SPECTRA = f"""{_SAMPLES}, w AS (
-  SELECT path, frame, i, m * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63)) AS x FROM s
+  SELECT path, frame, i, (l + r) / 2 * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63)) AS x FROM s
 ), z AS (
   SELECT path, frame, k, sum(x * cos(2 * pi() * i * k / 64)) AS a, sum(x * sin(2 * pi() * i * k / 64)) AS b FROM w, (SELECT unnest(range(1, 33)) AS k) GROUP BY ALL
 ), p AS (
@@ -159,10 +159,10 @@ def _band_pass_sql() -> str:
     a, b, c, d = filters.band_pass(8000, 35.0, 3600.0)
     names = [f"x{i}" for i in range(len(b))]
     linear = lambda row: " + ".join(f"({v!r}::DOUBLE) * {n}" for v, n in zip((float(v) for v in row), names) if v) or "0::DOUBLE"
-    step = ", ".join(f"{linear(a[i])} + ({float(b[i])!r}::DOUBLE) * m" for i in range(len(b)))
+    step = ", ".join(f"{linear(a[i])} + ({float(b[i])!r}::DOUBLE) * ((l + r) / 2)" for i in range(len(b)))
     return f"""WITH RECURSIVE {_SAMPLES}, f AS (
   SELECT path, -1::BIGINT AS t, {", ".join(f"0::DOUBLE AS {n}" for n in names)}, 0::DOUBLE AS y FROM s WHERE t = 0
-  UNION ALL SELECT s.path, s.t, {step}, {linear(c)} + ({float(d)!r}::DOUBLE) * m FROM f JOIN s ON s.path = f.path AND s.t = f.t + 1
+  UNION ALL SELECT s.path, s.t, {step}, {linear(c)} + ({float(d)!r}::DOUBLE) * ((l + r) / 2) FROM f JOIN s ON s.path = f.path AND s.t = f.t + 1
 )
 SELECT path, t // 64 AS frame, round(sum(y * y), 5) AS power, round(arg_max(y, t), 5) AS last FROM f WHERE t >= 0 GROUP BY ALL"""
 
