@@ -106,21 +106,22 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch, and where each text's begin; every distinct word of
     the batch is tokenised once."""
-    marked = pc.replace_substring_regex(texts, BREAK, f"\\1{MARK} ")
     if pc.any(pc.match_substring(texts, MARK)).as_py():  # the mark is in a text: take whole texts
         lists = pa.array([[t] for t in texts.to_pylist()], pa.list_(texts.type))
     else:
-        lists = pc.split_pattern(marked, MARK)
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, BREAK, f"\\1{MARK} "), MARK)
+    begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     words = lists.flatten().dictionary_encode()
+    del lists  # the texts' words, once more as large as the texts
     flat, size = encode_words(words.dictionary.to_pylist(), path)
     at = words.indices.to_numpy()
     table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(flat))
     out = table.take(words.indices).flatten().to_numpy() if len(at) else flat
     upto = np.concatenate([[0], np.cumsum(size[at])])
-    return out, upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return out, upto[begins]
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with texts of about ``most`` bytes together."""
     block = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // most
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
