@@ -67,3 +67,66 @@ def test_latest_states_equal_the_table_and_idle_keys_go(spark, store, tmp_path):
     assert last == {r.user_id: (r.event_id, r.value) for r in latest(table, ["user_id"], ["ts", "event_id"]).collect()}
     assert held[-1] < max(held)
     assert table.select(F.max("ts")).first()[0] == minute(60 * 24 * 41)
+
+
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.parts, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.parts[key] = value
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.parts.items()))
+
+    def clear(self):
+        self.calls += 1
+        self.parts = {}
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_ordering_calls_the_store_a_few_times_a_key():
+    store, o = Store(), state.Ordered(["k"])
+    o.init(store)
+    rows = [{"_ms": 10 + (i * 37) % 2500, "_id": i, "_payload": str(i)} for i in range(5000)]
+    again = [r | {"_payload": "new"} for r in rows[:10]]
+    for part in (rows[3000:][::-1], rows[:3000] + again):
+        assert not list(o.handleInputRows((7,), iter(part), At(0)))
+    assert store.timers == {10}
+    out = list(o.handleExpiredTimer((7,), At(1000), At(10)))
+    store.timers.discard(10)  # as Spark does
+    assert store.timers == {1001} and min(ms for v in store.parts.values() for ms in v[0]) == 1001
+    assert not list(o.handleInputRows((7,), iter([{"_ms": 1000, "_id": 9999, "_payload": "late"}]), At(1000)))
+    out += list(o.handleExpiredTimer((7,), At(9000), At(1001)))
+    want = sorted({(r["_ms"], r["_id"]): r["_payload"] for r in rows + again}.items())
+    assert [(r.k, r._ms, r._id, r._payload, r.place) for r in out] == [(7, ms, i, p, n) for n, ((ms, i), p) in enumerate(want, 1)]
+    assert not store.parts and store.calls < 60
