@@ -3,6 +3,7 @@ import math
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,19 @@ def test_active_levels_and_peaks(spark, framed):
     loud = framed.filter("path = 'comb'").withColumns({c: F.transform(c, lambda x: (x * 8).cast("float")) for c in ("left", "right")})
     peak = signal.levels(signal.normalised(loud)).first().peak
     assert math.isclose(peak, 1, rel_tol=1e-6)
+
+
+def test_a_batch_of_frames_gives_one_table_of_steps():
+    r = np.random.default_rng(6)
+    frames = [("a", 0, r.normal(size=40)), ("a", 1, r.normal(size=17)), ("b", 0, np.empty(0)), ("c", 3, r.normal(size=40))]
+    part = pd.DataFrame([(p, 8000, k, x, -x / 2, 40) for p, k, x in frames], columns=["path", "rate", "frame", "left", "right", "size"])
+    got = rhythm.step_sums(part, 1.0)
+    want = {}
+    for p, k, x in frames:
+        for i, v in enumerate(x / 4):
+            n, a, q = want.get((p, (40 * k + i) // 8), (0, 0.0, 0.0))
+            want[p, (40 * k + i) // 8] = (n + 1, a + abs(v), q + v * v)
+    assert list(zip(got["path"], got["t"])) == list(want)
+    for row, value in zip(got[["n", "a", "p"]].to_numpy(float), want.values()):
+        assert row == pytest.approx(value)
+    assert not len(rhythm.step_sums(part[part["path"] == "b"], 1.0)) and not len(rhythm.step_sums(part[:0], 1.0))
