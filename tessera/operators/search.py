@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_QUERIES = 4096
-SCORES = 4_000_000  # held by a task at once
+SCORES = 1_000_000  # held by a task at once
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -52,6 +52,35 @@ def top_k(catalog: DataFrame, query: Sequence[float], *, k: int = 20, id_col: st
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("similarity").desc(), id_col)))  # over k rows
 
 
+def best_of(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``k`` best rows ``id, vector`` of a task for each of its queries, as arrays of query, row and score: at most ``SCORES`` scores
+    are there at once, and only those that reach a query's worst so far are looked at."""
+    keys, values, edge = [np.empty(0, np.int64)] * len(ids), [np.empty(0)] * len(ids), np.full(len(ids), -np.inf)
+    step = max(1, SCORES // max(1, len(ids)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            rows = batch.slice(at, step)
+            own = rows.column(0).to_numpy()
+            scores = q @ rows.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64).T
+            np.round(scores, 12, out=scores)  # sums depend on the batch in the last digits
+            near = scores >= edge[:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                there = np.flatnonzero(near[i])
+                if exclude_self:
+                    there = there[own[there] != ids[i]]
+                found, score = np.concatenate([keys[i], own[there]]), np.concatenate([values[i], scores[i, there]])
+                if len(found) > k:
+                    worst = np.partition(score, len(score) - k)[len(score) - k]
+                    there = np.flatnonzero(score >= worst)  # with all ties at the edge
+                    by = there[np.lexsort((found[there], -score[there]))][:k]
+                    found, score = found[by], score[by]
+                keys[i], values[i] = found, score
+                edge[i] = score.min() if len(score) >= k else -np.inf
+    for i in range(0, len(ids), 256):
+        some = range(i, min(i + 256, len(ids)))
+        yield np.repeat(ids[i : i + 256], [len(keys[j]) for j in some]), np.concatenate([keys[j] for j in some]), np.concatenate([values[j] for j in some])
+
+
 def top_k_batch(catalog: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", exclude_self: bool = True) -> DataFrame:
     """``query_id, id, similarity, rank`` for many query vectors, all against the
     whole catalog, in blocks: each task multiplies its rows with a block of
@@ -69,28 +98,8 @@ def top_k_batch(catalog: DataFrame, queries: DataFrame, *, k: int = 10, id_col:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                step = max(1, SCORES // len(ids))  # rows whose scores fit in bounded memory
-                for at in range(0, batch.num_rows, step):
-                    rows = batch.slice(at, step)
-                    own = rows.column(0).to_numpy()
-                    vectors = rows.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
-                    scores = np.round(q @ vectors.T, 12)  # sums depend on the batch in the last digits
-                    for i in range(len(ids)):
-                        keys, values = np.concatenate([best[i][0], own]), np.concatenate([best[i][1], scores[i]])
-                        if exclude_self:
-                            values, keys = values[keys != ids[i]], keys[keys != ids[i]]
-                        if len(keys) > k:
-                            edge = np.partition(-values, k - 1)[k - 1]
-                            there = np.flatnonzero(-values <= edge)  # with all ties at the edge
-                            by = there[np.lexsort((keys[there], -values[there]))][:k]
-                            keys, values = keys[by], values[by]
-                        best[i] = (keys, values)
-            for i, (keys, values) in enumerate(best):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), ids[i])), pa.array(keys), pa.array(values)], [query_id, id_col, "similarity"])
+            for own, part, values in best_of(batches, ids, q, k, exclude_self):
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(part), pa.array(values)], [query_id, id_col, "similarity"])
 
         found = catalog.select(id_col, vector_col).mapInArrow(run, f"{query_id} long, {id_col} long, similarity double")
         out = found if out is None else out.union(found)
