@@ -157,3 +157,15 @@ def test_a_batch_of_frames_gives_one_table_of_steps():
     for row, value in zip(got[["n", "a", "p"]].to_numpy(float), want.values()):
         assert row == pytest.approx(value)
     assert not len(rhythm.step_sums(part[part["path"] == "b"], 1.0)) and not len(rhythm.step_sums(part[:0], 1.0))
+
+
+def test_spectra_for_acoustic_vectors_are_made_once(spark):
+    tone = [float(v) for v in np.sin(np.arange(64) / 3)]
+    schema = "path string, rate int, channels int, frame long, left array<float>, right array<float>"
+    silent, rows = [0.0] * 64, []
+    for k in range(4):
+        rows += [("mixed", 8000, 2, 2 * k, tone, tone), ("mixed", 8000, 2, 2 * k + 1, silent, silent), ("loud", 8000, 2, k, tone, tone), ("silent", 8000, 2, k, silent, silent)]
+    out = rhythm.acoustic_vectors(signal.spectra(spark.createDataFrame(rows, schema), 32))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # the spectra and their measures
+    got = by_path(out)
+    assert set(got) == {"mixed", "loud"} and got["mixed"].vector == pytest.approx(got["loud"].vector)
