@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.latest import latest
 
+PART_BYTES, MOST_PARTS = 2 << 20, 10_000  # of the planner's estimate for a table, that a task gets
+
 
 def identified(files: DataFrame, locations: DataFrame, content: str = "content") -> DataFrame:
     """``path, size_bytes, modified, track_id, hashed``: files whose path, size and
@@ -52,7 +54,15 @@ def written_scores(scores: DataFrame, results: DataFrame, column: str) -> DataFr
     return kept.unionByName(new.select("run_id", (F.col("_i") + 1).alias("rank"), "_x.label", "_x.score"))
 
 
+def _by_id(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "comparison_id")
+
+
 def stored_comparisons(log: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The log of comparisons with new ones, by the digest of what was compared: one that is there isn't added again."""
+    """The log of comparisons with new ones, by the digest of what was compared: one that is there isn't added again. Rows are dealt by
+    digest to parts whose number grows with the input, so a task's share doesn't."""
     keyed = pairs.withColumn("comparison_id", F.sha2(F.concat_ws("|", "track_id", "left_run", "right_run", "kind"), 256))
-    return log.unionByName(keyed.join(log.select("comparison_id"), "comparison_id", "left_anti").dropDuplicates(["comparison_id"]))
+    size = sum(int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for x in (log, keyed))
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    held = _by_id(log, parts)
+    return held.unionByName(_by_id(keyed, parts).join(_by_id(log.select("comparison_id"), parts), "comparison_id", "left_anti").dropDuplicates(["comparison_id"]))
